@@ -8,7 +8,7 @@ weights can't.
 Fitting uses a bounded, documented sample of the labelled rows
 (``per_class`` of each label, chosen by a hash of the id); scoring reads every
 whole text, map-only. Terms are maximal runs of letters and digits in lower
-case. Null and empty texts have no terms and get ``sigmoid(w0)``; null labels
+case, and their beginnings of a few lengths. Null and empty texts have no terms and get ``sigmoid(w0)``; null labels
 don't take part in fitting; without any labels of both kinds the score is the
 known rate (0.0 without any). Repeated ids are scored each. Extra columns are
 ignored.
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.textblocks import NOT_ALNUM, Rolling, blocks, plain, row_sums, spread, utf8, words
 
-HASH_BITS = 18
+HASH_BITS = 22
 THRESHOLD = 0.3
+#: Bytes of the word beginnings that are terms too, so that inflected forms share weights.
+STEMS = (4, 5, 6)
 TERMS = Rolling(41)
 
 
@@ -49,9 +51,16 @@ def term_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed terms of each row: flat ids, and the first of each row (n + 1)."""
     buf, off = utf8(pc.utf8_lower(plain(column)))
     starts, ends, first = words(buf, off, NOT_ALNUM)
-    ids = (TERMS.ranges(TERMS.prefix(buf), starts, ends) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    prefix = TERMS.prefix(buf)
     rows = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    pairs = np.unique((rows << HASH_BITS) | ids)
+    hashed = [TERMS.ranges(prefix, starts, ends)]
+    owners = [rows]
+    for n in STEMS:
+        long = ends - starts >= n
+        hashed.append(TERMS.ranges(prefix, starts[long], starts[long] + n) ^ np.uint64(n << 59))
+        owners.append(rows[long])
+    ids = (np.concatenate(hashed) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    pairs = np.unique((np.concatenate(owners) << HASH_BITS) | ids)
     return pairs & ((1 << HASH_BITS) - 1), np.searchsorted(pairs >> HASH_BITS, np.arange(len(off)))
 
 
@@ -74,7 +83,7 @@ def training_terms(sample: DataFrame) -> pa.Table:
     return sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(work, "doc_id long, toxic int, ids array<int>").toArrow()
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, factors: int = 4, epochs: int = 12, rate: float = 0.08, min_z: float = 3.0) -> FactorizationMachine:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, factors: int = 4, epochs: int = 12, rate: float = 0.08, min_z: float = 4.0) -> FactorizationMachine:
     """Learn from the labelled rows of ``documents``."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = documents.select("doc_id", "text").join(known, "doc_id")
@@ -99,7 +108,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, factors:
     p = y.mean()
     z = (toxic - seen * p) / np.sqrt(np.maximum(seen * p * (1 - p), 1e-9))
     # Terms that may matter: associated with the label, or frequent enough to take part in pairs.
-    chosen = np.flatnonzero((seen >= 5) & ((np.abs(z) >= min_z) | (seen >= 0.02 * len(y))))
+    chosen = np.flatnonzero((seen >= 5) & ((np.abs(z) >= min_z) | (seen >= 0.05 * len(y))))
     if not len(chosen):
         chosen = np.flatnonzero(seen)[:1]
     slot = np.full(size, -1, np.int32)
@@ -139,7 +148,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, factors:
 
 def score(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
     """``doc_id`` and ``score`` of every row."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**18 slots and as many weights at most
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**22 slots and as many weights at most
 
     def work(batches):
         fm = shared.value
