@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import language_id, toxicity, url_filters, warc
+from ravelin.llm import language_id, near_dedup, packing, substring_dedup, toxicity, url_filters, warc
 from ravelin.llm.lake import table
 
 #: (action, host, path) of the rules that op6 is asked to apply.
@@ -104,10 +104,26 @@ u AS (
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.action, 'allow') AS verdict FROM u LEFT JOIN m ON m.k = u.k AND m.best = 1
 """
 
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.similar_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_warc_revisits": op5_warc_revisits,
     "op6_url_filters": op6_url_filters,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 SQL: dict[str, str] = {"op5_warc_revisits": OP5_SQL, "op6_url_filters": OP6_SQL}
