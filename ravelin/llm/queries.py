@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import language_id, near_dedup, packing, substring_dedup, toxicity, url_filters, warc
+from ravelin.llm import decontamination, language_id, near_dedup, packing, quality, substring_dedup, toxicity, url_filters, warc
 from ravelin.llm.lake import table
 
 #: (action, host, path) of the rules that op6 is asked to apply.
@@ -31,6 +31,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
@@ -117,13 +121,20 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similar_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality.judged(table(spark, sf_dir, "documents"), trusted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_warc_revisits": op5_warc_revisits,
     "op6_url_filters": op6_url_filters,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {"op5_warc_revisits": OP5_SQL, "op6_url_filters": OP6_SQL}
