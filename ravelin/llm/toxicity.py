@@ -46,6 +46,14 @@ class FactorizationMachine:
         sums, squares = row_sums(v, first), row_sums(v * v, first)
         return self.bias + row_sums(self.linear[terms], first) + 0.5 * (sums**2 - squares).sum(axis=1)
 
+    def scores(self, column: pa.Array) -> np.ndarray:
+        ids, first = term_ids(column)
+        rows = np.repeat(np.arange(len(column)), np.diff(first))
+        at = self.slot[ids]
+        keep = at >= 0
+        raw = self.raw(at[keep], np.searchsorted(rows[keep], np.arange(len(column) + 1)))
+        return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
+
 
 def term_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed terms of each row: flat ids, and the first of each row (n + 1)."""
@@ -154,15 +162,23 @@ def score(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
         fm = shared.value
         for batch in batches:
             for part in blocks(batch):
-                ids, first = term_ids(part.column("text"))
-                rows = np.repeat(np.arange(part.num_rows), np.diff(first))
-                at = fm.slot[ids]
-                keep = at >= 0
-                raw = fm.raw(at[keep], np.searchsorted(rows[keep], np.arange(part.num_rows + 1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(raw, -40, 40))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fm.scores(part.column("text")))], ["doc_id", "score"])
 
     return documents.select("doc_id", "text").mapInArrow(work, "doc_id long, score double")
 
 
 def flag(documents: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
     return score(documents, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def below(documents: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` that score under the threshold, in one map-only pass."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        fm = shared.value
+        for batch in batches:
+            for part in blocks(batch):
+                yield part.filter(pa.array(fm.scores(part.column("text")) < threshold))
+
+    return documents.mapInArrow(work, documents.schema)
