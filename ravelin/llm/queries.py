@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import decontamination, language_id, near_dedup, packing, quality, substring_dedup, toxicity, url_filters, warc
+from ravelin.llm import decontamination, language_id, near_dedup, neighbours, packing, quality, substring_dedup, toxicity, url_filters, warc
 from ravelin.llm.lake import table
 
 #: (action, host, path) of the rules that op6 is asked to apply.
@@ -31,6 +31,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -128,6 +132,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_warc_revisits": op5_warc_revisits,
