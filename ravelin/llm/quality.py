@@ -194,7 +194,7 @@ class KneserNey:
 def gathered(found: dict[int, tuple[DataFrame, DataFrame]]) -> KneserNey:
     def arrays(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
         got = df.select(key, F.ln(value).alias("v")).orderBy(key).toArrow()
-        return got[key].to_numpy(), got["v"].to_numpy()
+        return got[key].to_numpy(), np.append(got["v"].to_numpy(), 0.0)  # the last one: of keys that are not there
 
     return KneserNey({n: arrays(p, "key", "p") for n, (p, _) in found.items()}, {n: arrays(w, "context", "weight") for n, (_, w) in found.items()})
 
