@@ -72,12 +72,12 @@ def term_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pairs & ((1 << HASH_BITS) - 1), np.searchsorted(pairs >> HASH_BITS, np.arange(len(off)))
 
 
-def sample_of(labelled: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """About ``per_class`` rows of each label by a hash of the id, and the rows of each label."""
-    counts = {int(r["toxic"]): r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def sample_of(known: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """About ``per_class`` ids of each label by a hash of the id, and the ids of each label."""
+    counts = {int(r["toxic"]): r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = lambda k: min(1.0, per_class / max(1, counts.get(k, 0)))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.where(draw < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0))), counts
+    return known.where(draw < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0))), counts
 
 
 def training_terms(sample: DataFrame) -> pa.Table:
@@ -94,8 +94,8 @@ def training_terms(sample: DataFrame) -> pa.Table:
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 6000, factors: int = 4, epochs: int = 12, rate: float = 0.08, min_z: float = 4.0) -> FactorizationMachine:
     """Learn from the labelled rows of ``documents``."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = documents.select("doc_id", "text").join(known, "doc_id")
-    sample, counts = sample_of(labelled, per_class)
+    drawn, counts = sample_of(known, per_class)
+    sample = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about 2 * per_class ids, whatever the tables' size
     size = 1 << HASH_BITS
     empty = FactorizationMachine(0.0, np.full(size, -1, np.int32), np.zeros(1), np.zeros((1, factors)))
     total = sum(counts.values())
