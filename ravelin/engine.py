@@ -92,7 +92,7 @@ class Engine:
         for i, s in enumerate(rest):
             entity = frame.set
             if s.name == "$filter":
-                condition = frame.compile(s.filter)  # type: ignore[arg-type]
+                condition = frame.condition(s.filter)  # type: ignore[arg-type]
                 frame = frame.with_df(frame.df.filter(condition))
             elif s.name in ("$count", "$ref", "$each"):
                 return frame, s.name if s.name != "$each" else None
@@ -172,7 +172,7 @@ class Engine:
             frame.df = frame.df.filter(matches(frame, options.search))
         compute(frame, options)
         if options.filter is not None:
-            condition = frame.compile(options.filter)
+            condition = frame.condition(options.filter)
             frame.df = frame.df.filter(condition)
         return frame
 

@@ -32,7 +32,7 @@ def apply(frame: Frame, step: Step) -> Frame:
         case "identity":
             return frame
         case "filter":
-            condition = frame.compile(step.args[0])
+            condition = frame.condition(step.args[0])
             return frame.with_df(frame.df.filter(condition))
         case "search":
             condition = matches(frame, step.args[0])

@@ -65,7 +65,7 @@ def prepared(frame: Frame, options: Options) -> Frame:
         frame.df = frame.df.filter(matches(frame, options.search))
     compute(frame, options)
     if options.filter is not None:
-        condition = frame.compile(options.filter)
+        condition = frame.condition(options.filter)
         frame.df = frame.df.filter(condition)
     return frame
 

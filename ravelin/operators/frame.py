@@ -282,6 +282,16 @@ class Frame:
                 raise bad("a list may only follow in")
         raise bad(f"can't evaluate {node}")
 
+    def condition(self, node: Node) -> Column:
+        """``node`` where null counts as false: comparisons stay plain, so that they reach the scan."""
+        node = self.plain(node)
+        if isinstance(node, Binary) and node.op in ("and", "or"):
+            a, b = self.condition(node.left), self.condition(node.right)
+            return a & b if node.op == "and" else a | b
+        if isinstance(node, Binary) and node.op in COMPARE:
+            return self.compare(node.op, self.plain(node.left), self.plain(node.right), kept=True)
+        return self.compile(node)
+
     def resolved(self, name: str, depth: int = 0) -> Node:
         node = self.ctx.aliases.get(name)
         if node is None:
@@ -324,7 +334,8 @@ class Frame:
     def type_of(self, column: Column) -> str:
         return self.df.select(column.alias("x")).schema["x"].dataType.simpleString()
 
-    def compare(self, op: str, a: Node, b: Node) -> Column:
+    def compare(self, op: str, a: Node, b: Node, kept: bool = False) -> Column:
+        """A two-valued comparison; with ``kept``, only where it is true matters."""
         if isinstance(a, Literal) and not isinstance(b, Literal):
             a, b = b, a
             op = {"gt": "lt", "lt": "gt", "ge": "le", "le": "ge"}.get(op, op)
@@ -338,6 +349,12 @@ class Frame:
         kind = self.type_of(x)
         y = self.fitted(b, kind)
         other = op == "ne"
+        if kept and not other:
+            # NaN equals nothing; Spark sorts it above all else, so one side needs a test at most.
+            side, of = (y, self.type_of(y)) if op in ("lt", "le") else (x, kind)
+            plain = isinstance(b, Literal) and b.value == b.value and op in ("lt", "le", "eq")
+            result = COMPARE[op](x, y)
+            return result & ~F.isnan(side) if of in ("double", "float") and not plain else result
         result = F.coalesce(COMPARE[op](x, y), F.lit(other))
         nan = [F.isnan(z) for z, k in ((x, kind), (y, self.type_of(y))) if k in ("double", "float")]
         for test in nan:

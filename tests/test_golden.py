@@ -46,9 +46,10 @@ GOLDEN = [
     (E, "Manager/Reports/$count eq 0", ""),
     (E, "Manager/Reports/$count gt 1", "3 4"),
     (E, "isof(Default.Manager)", "1 2"),
+    (E, "Hired le 2025-01-01T00:30:00+01:00", "1 2"),
     (E, "year(Hired) eq 2025", "3"),
     (E, "date(Hired) eq 2024-12-31", "2"),
-    (E, "Hired lt 2025-01-01T00:30:00+01:00", "1 2"),
+    (E, "Hired lt 2025-01-01T00:30:00+01:00", "1"),
     (E, "Default.isleaf(HierarchyNodes=$root/Employees,HierarchyQualifier='Chain',Node=Id)", "3 4"),
     (E, "Default.issibling(HierarchyNodes=$root/Employees,HierarchyQualifier='Chain',Node=Id,Other=3)", "4"),
     ("Animals", "Marks has Default.Features'Mane'", "1 3"),

@@ -66,7 +66,7 @@ def test_errors(spark, url, status):
 
 
 def test_patterns():
-    assert to_java("a.c$") == r"a[^\n\r  ]c\z"
+    assert to_java("a.c$") == r"a[^\n\r\u2028\u2029]c\z"
     assert to_java(r"[\s]") .startswith(r"[\t\n")
     assert to_java("[^]") == "(?s:.)"
     assert re.fullmatch(like_to_java("a*b?").replace(r"\z", r"\Z"), "a\nxbz")
