@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,7 @@ class Engine:
     def __init__(self, spark: SparkSession, model: EntityModel, now: str | None = None):
         self.spark, self.model = spark, model
         self.now = Literal(now, "datetime") if now else None
+        self.jobs = ThreadPoolExecutor(4)
 
     def context(self, options: Options = Options()) -> Context:  # noqa: B008  frozen
         return Context(self.spark, self.model, dict(options.aliases), self.now)
@@ -271,7 +273,11 @@ class Engine:
         data, kind = frame.set.stream
         return frame.df.select(c(data).alias("content"), c(kind).alias("content_type"), F.sha2(c(data), 256).alias("etag"))
 
-    # --- batches ---
+    # --- batches and jobs ---
+
+    def submit(self, url: str) -> Future:
+        """A request that runs on its own; its result is the list of rows."""
+        return self.jobs.submit(lambda: self.query(url).collect())
 
     def batch(self, requests: list[str | Callable[[Engine], DataFrame]]) -> list[DataFrame | QueryError]:
         """Answers of several requests; a request that fails answers with its error."""

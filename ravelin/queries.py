@@ -94,7 +94,7 @@ request("prj15_nested", "Customers?$filter=Orders/any(o:o/Orderstatus eq 'F' and
 request("prj15_through_to_one", "Orders?$filter=Customer/Orders/any(o:o/Totalprice gt 490000)&$select=Orderkey", "SELECT o_orderkey AS Orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 490000)")
 request("prj16_count", "Customers?$filter=Orders/$count gt 12&$select=Custkey", "SELECT o_custkey AS Custkey FROM orders GROUP BY 1 HAVING count(*) > 12")
 request("prj17_filtered_count", "Customers?$filter=Orders/$count($filter=Orderstatus eq 'O') ge 5&$select=Custkey", "SELECT o_custkey AS Custkey FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 HAVING count(*) >= 5")
-request("prj18_navigation_aggregate", "Customers?$filter=Orders/aggregate(Totalprice with max) gt 400000&$compute=Orders/aggregate(Totalprice with average) as Mean,Orders/aggregate(Totalprice with min) as Low&$select=Custkey,Mean,Low", "SELECT o_custkey AS Custkey, round(avg(o_totalprice), 2) AS Mean, round(min(o_totalprice), 2) AS Low FROM orders GROUP BY 1 HAVING max(o_totalprice) > 400000", rounds="Mean Low")
+request("prj18_navigation_aggregate", "Customers?$filter=Orders/aggregate(Totalprice with max) gt 400000&$compute=Orders/aggregate(Totalprice with average) as Mean,Orders/aggregate(Totalprice with min) as Low&$select=Custkey,Mean,Low", "SELECT o_custkey AS Custkey, round(avg(o_totalprice), 6) AS Mean, round(min(o_totalprice), 2) AS Low FROM orders GROUP BY 1 HAVING max(o_totalprice) > 400000", rounds="Mean:6 Low")
 request("prj19_these", "Parts?$filter=Retailprice gt $these/aggregate(Retailprice with average)&$select=Partkey", "SELECT p_partkey AS Partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
 request("prj19_these_count", "Regions?$compute=$these/$count as N&$select=Regionkey,N", "SELECT r_regionkey AS Regionkey, (SELECT count(*) FROM region) AS N FROM region")
 request("prj22_cast", "Parts?$compute=cast(Size,Edm.Int64) as Wide&$select=Partkey,Wide", "SELECT p_partkey AS Partkey, CAST(p_size AS BIGINT) AS Wide FROM part")
@@ -121,8 +121,8 @@ request("dat1_year", "Orders?$filter=year(Orderdate) eq 1997 and month(Orderdate
 request("dat2_date", "Events?$compute=date(Ts) as Day&$filter=Day eq 2024-01-05&$select=EventId,Day", "SELECT event_id AS \"EventId\", CAST(ts AS DATE) AS Day FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-05'")
 request("dat3_now", "Orders?$filter=Orderdate lt now()&$select=Orderkey", "SELECT o_orderkey AS Orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'")
 request("dat_range", "Orders?$filter=Orderdate ge 1997-01-01 and Orderdate lt 1997-02-01T00:00:00Z&$select=Orderkey", "SELECT o_orderkey AS Orderkey FROM orders WHERE o_orderdate >= '1997-01-01' AND o_orderdate < '1997-02-01'")
-request("arr1_any", "Embeddings?$filter=Embedding/any(x:x gt 2.5)&$select=VecId", 'SELECT vec_id AS "VecId" FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 2.5)) > 0')
-request("arr1_all", "Embeddings?$filter=Embedding/all(x:x lt 2.0)&$select=VecId", 'SELECT vec_id AS "VecId" FROM embeddings WHERE len(list_filter(embedding, lambda x: NOT x < 2.0)) = 0')
+request("arr1_any", "Embeddings?$filter=Embedding/any(x:x gt 0.4)&$select=VecId", 'SELECT vec_id AS "VecId" FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.4)) > 0')
+request("arr1_all", "Embeddings?$filter=Embedding/all(x:x lt 0.3)&$select=VecId", 'SELECT vec_id AS "VecId" FROM embeddings WHERE len(list_filter(embedding, lambda x: NOT x < 0.3)) = 0')
 
 # --- joins ---
 _J = "FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
@@ -135,10 +135,10 @@ request("jon5_top_per_parent", "Customers?$apply=join(Orders as O,topcount(1,Tot
 request("jon7_bridge", "Parts?$filter=Suppliers/any(s:s/Acctbal lt 0)&$select=Partkey", "SELECT DISTINCT l_partkey AS Partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 0")
 
 # --- aggregation ---
-request("agg1_aggregate", "Lineitems?$apply=aggregate(Quantity with sum as Q,Extendedprice with average as P,$count as N)", "SELECT sum(l_quantity) AS Q, round(avg(l_extendedprice), 2) AS P, count(*) AS N FROM lineitem", rounds="P")
+request("agg1_aggregate", "Lineitems?$apply=aggregate(Quantity with sum as Q,Extendedprice with average as P,$count as N)", "SELECT sum(l_quantity) AS Q, round(avg(l_extendedprice), 6) AS P, count(*) AS N FROM lineitem", rounds="P:6")
 request("agg1_empty", "Lineitems?$apply=filter(Quantity lt 0)/aggregate(Quantity with sum as Q,$count as N)", "SELECT sum(l_quantity) AS Q, count(*) AS N FROM lineitem WHERE l_quantity < 0")
 request("agg2_keys", "Orders?$apply=groupby((Orderstatus,Customer/Mktsegment))", "SELECT DISTINCT o_orderstatus AS Status, c_mktsegment AS Segment FROM orders JOIN customer ON c_custkey = o_custkey", "Status Segment")
-request("agg3_flagship", "Lineitems?$apply=filter(Shipdate le 1998-09-02)/groupby((Returnflag,Linestatus),aggregate(Quantity with sum as SumQty,Extendedprice with sum as SumBase,Extendedprice mul (1 sub Discount) with sum as SumDisc,Quantity with average as AvgQty,$count as N))", "SELECT l_returnflag AS Returnflag, l_linestatus AS Linestatus, sum(l_quantity) AS SumQty, round(sum(l_extendedprice), 2) AS SumBase, round(sum(l_extendedprice * (1 - l_discount)), 4) AS SumDisc, round(avg(l_quantity), 2) AS AvgQty, count(*) AS N FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY 1, 2", rounds="SumBase SumDisc:4 AvgQty")
+request("agg3_flagship", "Lineitems?$apply=filter(Shipdate le 1998-09-02)/groupby((Returnflag,Linestatus),aggregate(Quantity with sum as SumQty,Extendedprice with sum as SumBase,Extendedprice mul (1 sub Discount) with sum as SumDisc,Quantity with average as AvgQty,$count as N))", "SELECT l_returnflag AS Returnflag, l_linestatus AS Linestatus, sum(l_quantity) AS SumQty, round(sum(l_extendedprice), 2) AS SumBase, round(sum(l_extendedprice * (1 - l_discount)), 4) AS SumDisc, round(avg(l_quantity), 6) AS AvgQty, count(*) AS N FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY 1, 2", rounds="SumBase SumDisc:4 AvgQty:6")
 request("agg4_sequence", "Customers?$apply=groupby((Mktsegment),topcount(2,Acctbal)/aggregate(Acctbal with sum as T))", "SELECT c_mktsegment AS Mktsegment, round(sum(c_acctbal), 2) AS T FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 2 GROUP BY 1", rounds="T")
 request("agg4_nested_groups", "Customers?$apply=groupby((Mktsegment),filter(Acctbal gt $these/aggregate(Acctbal with average))/groupby((Nation/Name),aggregate($count as N)))", "SELECT c_mktsegment AS Segment, n_name AS Nation, count(*) AS N FROM (SELECT *, avg(c_acctbal) OVER (PARTITION BY c_mktsegment) AS a FROM customer) JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > a GROUP BY 1, 2", "Segment Nation N")
 request("agg5_count", "Events?$apply=groupby((EventType),aggregate($count as N))", 'SELECT event_type AS "EventType", count(*) AS N FROM events GROUP BY 1')
@@ -146,7 +146,7 @@ request("agg6_navigation_count", "Customers?$apply=groupby((Mktsegment),aggregat
 request("agg9_min_max", "Orders?$apply=groupby((Orderstatus),aggregate(Orderdate with min as First,Orderdate with max as Last,Orderpriority with max as P))", "SELECT o_orderstatus AS Orderstatus, min(o_orderdate) AS First, max(o_orderdate) AS Last, max(o_orderpriority) AS P FROM orders GROUP BY 1")
 request("agg10_distinct", "Lineitems?$apply=groupby((Returnflag),aggregate(Partkey with countdistinct as N))", "SELECT l_returnflag AS Returnflag, count(DISTINCT l_partkey) AS N FROM lineitem GROUP BY 1")
 request("agg11_expression", "Lineitems?$apply=groupby((Linestatus),aggregate(Extendedprice mul Discount with sum as D))", "SELECT l_linestatus AS Linestatus, round(sum(l_extendedprice * l_discount), 4) AS D FROM lineitem GROUP BY 1", rounds="D:4")
-request("agg12_to_many", "Customers?$apply=groupby((Nation/Name),aggregate(Orders/Totalprice with sum as S,Orders/Totalprice with average as A,Orders/Totalprice with max as M))", "SELECT n_name AS Nation, round(sum(o_totalprice), 2) AS S, round(avg(o_totalprice), 2) AS A, round(max(o_totalprice), 2) AS M FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1", "Nation S A M", "S A M")
+request("agg12_to_many", "Customers?$apply=groupby((Nation/Name),aggregate(Orders/Totalprice with sum as S,Orders/Totalprice with average as A,Orders/Totalprice with max as M))", "SELECT n_name AS Nation, round(sum(o_totalprice), 2) AS S, round(avg(o_totalprice), 6) AS A, round(max(o_totalprice), 2) AS M FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1", "Nation S A M", "S A:6 M")
 request("agg13_custom_method", "Parts?$apply=groupby((Type),aggregate(Size with Tables.range as R))", "SELECT p_type AS Type, max(p_size) - min(p_size) AS R FROM part GROUP BY 1")
 request("agg14_custom_aggregate", "Lineitems?$apply=groupby((Returnflag),aggregate(Revenue))", "SELECT l_returnflag AS Returnflag, round(sum(l_extendedprice * (1 - l_discount)), 4) AS Revenue FROM lineitem GROUP BY 1", rounds="Revenue:4")
 request("agg15_regroup", "Customers?$apply=groupby((Nation/Name,Mktsegment),aggregate($count as N))/groupby((Mktsegment),aggregate(N with max as M,$count as K))", "SELECT c_mktsegment AS Mktsegment, max(N) AS M, count(*) AS K FROM (SELECT c_mktsegment, c_nationkey, count(*) AS N FROM customer GROUP BY 1, 2) GROUP BY 1")
@@ -157,7 +157,7 @@ request("agg20_having", Query("Orders").group(["Custkey"], having="N gt 15", N="
 request("apl1_identity", "Regions?$apply=identity", "SELECT r_regionkey AS Regionkey, r_name AS Name FROM region")
 request("apl2_filter_groups", "Orders?$apply=groupby((Custkey),aggregate(Totalprice with sum as T))/filter(T gt 3000000 and isdefined(T))", "SELECT o_custkey AS Custkey, round(sum(o_totalprice), 2) AS T FROM orders GROUP BY 1 HAVING sum(o_totalprice) > 3000000", rounds="T")
 request("apl3_search", "Parts?$apply=search(widget)/aggregate($count as N)", "SELECT count(*) AS N FROM part WHERE contains(lower(p_name), 'widget')")
-request("apl4_compute_groups", "Customers?$apply=groupby((Mktsegment),aggregate($count as N,Acctbal with sum as T))/compute(T divby N as Mean)", "SELECT c_mktsegment AS Mktsegment, count(*) AS N, round(sum(c_acctbal), 2) AS T, round(sum(c_acctbal) / count(*), 2) AS Mean FROM customer GROUP BY 1", rounds="T Mean")
+request("apl4_compute_groups", "Customers?$apply=groupby((Mktsegment),aggregate($count as N,Acctbal with sum as T))/compute(T divby N as Mean)", "SELECT c_mktsegment AS Mktsegment, count(*) AS N, round(sum(c_acctbal), 2) AS T, round(sum(c_acctbal) / count(*), 6) AS Mean FROM customer GROUP BY 1", rounds="T Mean:6")
 request("apl5_orderby_top", "Customers?$apply=orderby(Acctbal desc)/skip(2)/top(5)&$select=Custkey,Acctbal", "SELECT c_custkey AS Custkey, c_acctbal AS Acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5 OFFSET 2")
 for _kind, _sort in (("top", "DESC"), ("bottom", "ASC")):
     _run = f"SELECT *, sum(CAST(c_acctbal AS DECIMAL(18,2))) OVER (ORDER BY c_acctbal {_sort}, c_custkey ROWS UNBOUNDED PRECEDING) - CAST(c_acctbal AS DECIMAL(18,2)) AS b, sum(CAST(c_acctbal AS DECIMAL(18,2))) OVER () AS t FROM customer"

@@ -172,3 +172,24 @@ def test_pushdown(spark):
     engine = Engine(spark, table_model(SMALL))
     plan = engine.query("Orders?$filter=Totalprice gt 100000&$select=Orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,100000" in plan and "o_orderstatus" not in plan.split("ReadSchema")[1]
+
+
+def test_remote_collection(spark, tmp_path):
+    import json
+
+    from ravelin.sources import remote
+
+    (tmp_path / "1.json").write_text(json.dumps({"value": [{"a": 1, "b": "x"}, {"a": 2}], "@odata.nextLink": "2.json"}))
+    (tmp_path / "2.json").write_text(json.dumps({"value": [{"a": 3, "b": "z"}]}))
+    remote.register(spark)
+    read = lambda **o: spark.read.format("remote_collection").schema("a int, b string").options(url=f"file://{tmp_path}/1.json", **o).load()
+    assert rows(read(), "a") == [(1,), (2,), (3,)]
+    assert read(limit="2").count() == 2
+
+
+def test_submitted_requests(spark):
+    engine = Engine(spark, catalogue())
+    job = engine.submit("Products/$count")
+    assert job.result(120)[0][0] == 9
+    with pytest.raises(QueryError):
+        engine.submit("Nope").result(120)
