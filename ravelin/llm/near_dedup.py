@@ -8,13 +8,16 @@ fewer words, the whole sequence is the one shingle. Two documents link where
    band keys over 128 minima (32 bands of 4: a pair at the threshold shares no
    band with probability 5e-6), and the low 2 bits of each minimum, packed.
 2. Documents with equal sets are one *class*; only its smallest id goes on.
-3. Band buckets never emit their pairs. A bucket's smallest member is its
-   centre and is compared with the members of other components; then the next
-   centre, until a bucket holds one component. So a bucket of many alike costs
-   one comparison each, and a bucket of unlike members still gets all of them:
-   nothing is capped.
+3. Band buckets never emit their pairs. First a bucket's smallest member is its
+   centre, which settles most. For the members of buckets that still hold
+   several components, one aggregation over shingles counts those that no other
+   set of them has. With ``s`` shingles that others may have, two sets share
+   ``min(s_a, s_b)`` at most, which rules out nearly all pairs that are no
+   links, exactly. What is left is compared with centres of other components,
+   more of them in each round, until each bucket holds one component or every
+   member has been a centre: nothing is capped.
 4. A candidate first meets the b-bit estimate ``(match - 1/4) / (1 - 1/4)``,
-   where ``match`` counts equal 2-bit fields; below 0.52 (5 standard
+   where ``match`` counts equal 2-bit fields; below 0.55 (4.3 standard
    deviations under the threshold) it can't be a link. The rest is confirmed on
    the full sets, each centre's text being sent once for each block of members.
 
@@ -38,8 +41,10 @@ THRESHOLD = 75
 MINIMA, BANDS = 128, 32
 ROWS = MINIMA // BANDS
 BITS = 2
-LEAST_ESTIMATE = 0.52
+LEAST_ESTIMATE = 0.55
 PER_BLOCK = 200
+#: Links that one task may join; beyond it, labels travel in rounds of joins.
+IN_ONE_TASK = 500_000
 WORD_KEYS = Rolling(91)
 _MIX = constants(92, WIDTH + 1)
 _A = (constants(93, MINIMA) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -164,6 +169,51 @@ def contracted(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return state
 
 
+def joined_in_one_task(edges: DataFrame) -> DataFrame:
+    """``contracted`` by union-find in one task, for edges of a checked number."""
+
+    def work(batches):
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(work, "node long, root long")
+
+
+def own_shingles(crowd: DataFrame, documents: DataFrame) -> DataFrame:
+    """Of ``crowd`` (rep): how many shingles of each stand in no other set of it.
+
+    One aggregation over shingles; sets without any are left out.
+    """
+
+    def work(batches):
+        for batch in batches:
+            for part in blocks(batch):
+                sets = shingle_sets(part.column("text"))
+                sizes = np.array([len(s) for s in sets], np.int64)
+                flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+                names = part.column("doc_id").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes), pa.int64()), pa.array(flat.view(np.int64))], ["rep", "shingle"])
+
+    wanted = crowd.withColumnRenamed("rep", "doc_id")
+    if fits_broadcast(crowd.count(), 16):
+        wanted = F.broadcast(wanted)
+    rows = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    alone = rows.mapInArrow(work, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("sets"), F.min("rep").alias("rep")).where("sets = 1")
+    return alone.groupBy("rep").agg(F.count("*").alias("own"))
+
+
 def similar_classes(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = documents.sparkSession
@@ -175,34 +225,65 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     keys = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
     members = scratch.keep(keys.join(crowded.select("key", "least"), "key"), "members")
-    sketches = signed.select("doc_id", "sketch").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sketches = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
     sketches = scratch.keep(sketches, "sketches")
+    profiles = sketches.withColumn("s", F.col("n"))  # s: shingles that another set may have
+
+    def alike(a: str, b: str) -> Column:
+        """Enough shingles that both can have, and an estimate that may be a link."""
+        both = F.least(f"s_{a}", f"s_{b}")
+        return (100 * both >= THRESHOLD * (F.col(f"n_{a}") + F.col(f"n_{b}") - both)) & (estimate(F.col(f"sketch_{a}"), F.col(f"sketch_{b}")) >= LEAST_ESTIMATE)
+
+    def named(tag: str) -> DataFrame:
+        return profiles.select(F.col("rep").alias(tag), F.col("n").alias(f"n_{tag}"), F.col("s").alias(f"s_{tag}"), F.col("sketch").alias(f"sketch_{tag}"))
 
-    def screened(pairs: DataFrame) -> DataFrame:
-        a, b = sketches.select(F.col("doc_id").alias("centre"), F.col("sketch").alias("sketch_a")), sketches.select(F.col("doc_id").alias("member"), F.col("sketch").alias("sketch_b"))
-        return pairs.join(a, "centre").join(b, "member").where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= LEAST_ESTIMATE).select("centre", "member")
+    def linked(before: DataFrame | None, pairs: DataFrame, name: str) -> tuple[DataFrame | None, DataFrame | None]:
+        """All links so far, and the root of each node that has one."""
+        links = confirmed(pairs, documents, scratch, name)
+        if before is not None:
+            links = before.unionByName(links)
+        n = links.count()
+        if not n:
+            return None, None
+        edges = links.toDF("a", "b")
+        found = joined_in_one_task(edges) if n <= IN_ONE_TASK else contracted(edges, scratch, f"{name}-roots")
+        return links, scratch.keep(found, f"{name}-labels")
 
-    labels = members.select(F.col("rep").alias("node")).distinct().withColumn("root", F.col("node"))
-    # First, each member with the smallest centre of its buckets; it settles nearly all.
+    def mixed(buckets: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
+        """The members (key, rep, root) of buckets that hold several components."""
+        inside = buckets.select("key", "rep").withColumn("root", F.col("rep"))
+        if roots is not None:
+            inside = buckets.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        several = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        return scratch.keep(inside.join(several, "key", "left_semi"), name)
+
+    # First, each member with the smallest member of its buckets: that settles most.
     pairs = members.where("rep > least").groupBy(F.col("rep").alias("member")).agg(F.min("least").alias("centre"))
-    buckets, turn = None, 0
-    while True:
-        links = confirmed(screened(pairs), documents, scratch, f"round{turn}")
-        la, lb = (labels.select(F.col("node").alias(k), F.col("root").alias(r)) for k, r in (("centre", "a"), ("member", "b")))
-        edges = scratch.keep(links.join(la, "centre").join(lb, "member").where("a <> b").select("a", "b").distinct(), f"round{turn}-contracted")
-        if not edges.isEmpty():
-            roots = contracted(edges, scratch, f"round{turn}-roots").select(F.col("node").alias("root"), F.col("root").alias("top"))
-            labels = scratch.keep(labels.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"round{turn}-labels")
-        # Then, bucket by bucket, what still belongs to several components.
-        inside = (members.select("key", "rep") if buckets is None else buckets).join(labels.withColumnRenamed("node", "rep"), "rep")
-        mixed = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("rep", "root"), "rep").alias("c")).where("low < high")
-        left = scratch.keep(inside.join(mixed.select("key", F.col("c.rep").alias("centre"), F.col("c.root").alias("centre_root")), "key"), f"round{turn}-left")
-        if left.isEmpty():
-            break
-        pairs = left.where("root <> centre_root").select("centre", F.col("rep").alias("member")).distinct()
-        buckets = left.where("rep > centre").select("key", "rep")  # a centre has met all that it could link
-        turn += 1
-    by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "set_a", "set_b", F.coalesce("root", "rep").alias("class_id"))
+    links, roots = linked(None, pairs.join(named("centre"), "centre").join(named("member"), "member").where(alike("centre", "member")).select("centre", "member"), "round0")
+    left = mixed(members, roots, "left0")
+    if not left.isEmpty():
+        # Then without the sets whose own shingles rule out every link within a bucket.
+        own = own_shingles(left.select("rep").distinct(), documents)
+        profiles = sketches.join(left.select("rep").distinct(), "rep", "left_semi").join(own, "rep", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+        profiles = scratch.keep(profiles, "profiles")
+        sized = left.join(profiles.select("rep", "n", "s"), "rep")
+        least_n = sized.groupBy("key").agg(F.min("n").alias("least_n"))
+        able = sized.join(least_n, "key").where(100 * F.col("s") >= THRESHOLD * (F.col("n") + F.greatest("least_n", "s") - F.col("s")))
+        left = mixed(able, roots, "left1")
+    turn, slots = 1, 8
+    while not left.isEmpty():
+        # Several centres for each bucket, one for each slot; more in each round, so that rounds stay few.
+        dealt = left.withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots)))
+        centres = dealt.groupBy("key", "slot").agg(F.min_by(F.struct(F.col("rep").alias("centre"), F.col("root").alias("centre_root")), "rep").alias("c")).select("key", "c.centre", "c.centre_root")
+        rooted = scratch.keep(centres.join(named("centre"), "centre"), f"centres{turn}")
+        met = left.join(named("member").withColumnRenamed("member", "rep"), "rep").join(rooted, (left["key"] == rooted["key"]) & (F.col("root") != F.col("centre_root")) & alike("centre", "member"))
+        links, roots = linked(links, met.select(F.least("centre", "rep").alias("centre"), F.greatest("centre", "rep").alias("member")).distinct(), f"round{turn}")
+        # A centre has met all that it could link.
+        rest = left.join(rooted.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
+        turn, slots = turn + 1, slots * 64
+        left = mixed(rest, roots, f"left{turn}")
+    own = classes.select("n_shingles", "set_a", "set_b", "rep", F.col("rep").alias("root")) if roots is None else classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    by_class = own.select("n_shingles", "set_a", "set_b", F.coalesce("root", "rep").alias("class_id"))
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class, ["n_shingles", "set_a", "set_b"], "left")
     component = F.coalesce("class_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
