@@ -214,14 +214,17 @@ def by_suffix_arrays(pieces: DataFrame) -> DataFrame:
 
 def cut_pieces(documents: DataFrame, wanted: DataFrame, whole_windows: bool) -> DataFrame:
     """Bytes of the wanted segments; or, for large anchors, a fingerprint of each of their windows."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("want"))
-    rows = documents.select("doc_id", "text").join(lists, "doc_id")
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("__want"))
+    # The same left join as in ``with_ranges``: the exchange of the texts is made once and used twice.
+    rows = documents.join(lists, "doc_id", "left")
 
     def pieces(batches):
         for batch in batches:
             for part in blocks(batch):
                 out = [[], [], [], [], []]
-                for name, text, want in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "want")), strict=True):
+                for name, text, want in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "__want")), strict=True):
+                    if not want:
+                        continue
                     data = text.encode()
                     for w in want:
                         for column, value in zip(out, (w["anchor"], name, w["start"], w["windows"], data[w["start"] : w["start"] + w["windows"] + SPAN - 1]), strict=True):
@@ -233,7 +236,9 @@ def cut_pieces(documents: DataFrame, wanted: DataFrame, whole_windows: bool) ->
             for part in blocks(batch, limit=1 << 18):
                 buf, off = utf8(plain(part.column("text")))
                 first, second = SEGMENTS.prefix(buf), CHECKS.prefix(buf)
-                for row, (name, want) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("want").to_pylist(), strict=True)):
+                for row, (name, want) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("__want").to_pylist(), strict=True)):
+                    if not want:
+                        continue
                     at = np.concatenate([off[row] + w["start"] + np.arange(w["windows"]) for w in want])
                     yield pa.RecordBatch.from_arrays([pa.array(SEGMENTS.ranges(first, at, at + SPAN).view(np.int64)), pa.array(CHECKS.ranges(second, at, at + SPAN).view(np.int64)), pa.array(np.full(len(at), name, np.int64)), pa.array((at - off[row]).astype(np.int32))], ["a", "b", "doc_id", "start"])
 
@@ -271,7 +276,7 @@ def removal(windows: list[dict] | None, size: int) -> list[tuple[int, int]]:
 def with_ranges(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """``documents`` with the list of its covered windows (null: none)."""
     ranges = covered_ranges(documents, scratch)
-    lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("covered"))
+    lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("__covered"))
     return documents.join(lists, "doc_id", "left")
 
 
@@ -283,7 +288,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for part in blocks(batch):
                 out = [[], [], [], [], []]
-                for name, text, covered in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "covered")), strict=True):
+                for name, text, covered in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "__covered")), strict=True):
                     data = (text or "").encode()
                     gone = removal(covered, len(data))
                     digest, at = hashlib.sha256(), 0
@@ -311,7 +316,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             texts, alive = [], []
-            for text, covered in zip(batch.column("text").to_pylist(), batch.column("covered").to_pylist(), strict=True):
+            for text, covered in zip(batch.column("text").to_pylist(), batch.column("__covered").to_pylist(), strict=True):
                 if not covered:
                     texts.append(text)
                     alive.append(True)
@@ -334,6 +339,6 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     schema = rows.schema
     cut = rows.mapInArrow(work, schema)
     if "n_chars" in columns:
-        changed = F.col("covered").isNotNull()
+        changed = F.col("__covered").isNotNull()
         cut = cut.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(schema["n_chars"].dataType))
     return cut.select(*columns)
