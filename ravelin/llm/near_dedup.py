@@ -5,8 +5,8 @@ fewer words, the whole sequence is the one shingle. Two documents link where
 ``100 * |A & B| >= 75 * |A | B|``; classes are the connected components.
 
 1. One map-only pass gives each document its set's size and 128-bit identity,
-   band keys over 128 minima (32 bands of 4: a pair at the threshold shares no
-   band with probability 5e-6), and the low 2 bits of each minimum, packed.
+   band keys (32 bands of 4 minima: a pair at the threshold shares no band with
+   probability 5e-6), and the low 2 bits of each of 512 minima, packed.
 2. Documents with equal sets are one *class*; only its smallest id goes on.
 3. Band buckets never emit their pairs. First a bucket's smallest member is its
    centre, which settles most. For the members of buckets that still hold
@@ -15,9 +15,10 @@ fewer words, the whole sequence is the one shingle. Two documents link where
    ``min(s_a, s_b)`` at most, which rules out nearly all pairs that are no
    links, exactly. What is left is compared with centres of other components,
    more of them in each round, until each bucket holds one component or every
-   member has been a centre: nothing is capped.
+   member has been a centre: nothing is capped. A pair meets in the first band
+   that it shares only.
 4. A candidate first meets the b-bit estimate ``(match - 1/4) / (1 - 1/4)``,
-   where ``match`` counts equal 2-bit fields; below 0.55 (4.3 standard
+   where ``match`` counts equal 2-bit fields; below 0.65 (4.3 standard
    deviations under the threshold) it can't be a link. The rest is confirmed on
    the full sets, each centre's text being sent once for each block of members.
 
@@ -38,10 +39,10 @@ from ravelin.llm.textblocks import SPACES, Rolling, ascii_lower, blocks, constan
 
 WIDTH = 5
 THRESHOLD = 75
-MINIMA, BANDS = 128, 32
-ROWS = MINIMA // BANDS
+#: Minima for the estimate; the first ``BANDS * ROWS`` of them make the band keys.
+MINIMA, BANDS, ROWS = 512, 32, 4
 BITS = 2
-LEAST_ESTIMATE = 0.55
+LEAST_ESTIMATE = 0.65
 PER_BLOCK = 200
 #: Links that one task may join; beyond it, labels travel in rounds of joins.
 IN_ONE_TASK = 500_000
@@ -79,8 +80,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of each of the permutations over a set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     best = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(best, (x[at : at + 2048, None] * _A + _B).min(axis=0), out=best)
+    for at in range(0, len(x), 512):
+        np.minimum(best, (x[at : at + 512, None] * _A + _B).min(axis=0), out=best)
     return best
 
 
@@ -89,7 +90,7 @@ def signature_columns(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mixed = splitmix(best.astype(np.uint64))
     bits = (mixed & np.uint64((1 << BITS) - 1)).reshape(len(best), -1, 64 // BITS)
     sketch = (bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
-    grouped = mixed.reshape(len(best), BANDS, ROWS)
+    grouped = mixed[:, : BANDS * ROWS].reshape(len(best), BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for k in range(ROWS):
         key = splitmix(key ^ grouped[:, :, k])
@@ -222,10 +223,10 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     classes = scratch.keep(classes, "classes")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    keys = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     crowded = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
     members = scratch.keep(keys.join(crowded.select("key", "least"), "key"), "members")
-    sketches = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    sketches = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands").join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
     sketches = scratch.keep(sketches, "sketches")
     profiles = sketches.withColumn("s", F.col("n"))  # s: shingles that another set may have
 
@@ -235,7 +236,7 @@ def similar_classes(documents: DataFrame) -> DataFrame:
         return (100 * both >= THRESHOLD * (F.col(f"n_{a}") + F.col(f"n_{b}") - both)) & (estimate(F.col(f"sketch_{a}"), F.col(f"sketch_{b}")) >= LEAST_ESTIMATE)
 
     def named(tag: str) -> DataFrame:
-        return profiles.select(F.col("rep").alias(tag), F.col("n").alias(f"n_{tag}"), F.col("s").alias(f"s_{tag}"), F.col("sketch").alias(f"sketch_{tag}"))
+        return profiles.select(F.col("rep").alias(tag), F.col("n").alias(f"n_{tag}"), F.col("s").alias(f"s_{tag}"), F.col("sketch").alias(f"sketch_{tag}"), F.col("bands").alias(f"bands_{tag}"))
 
     def linked(before: DataFrame | None, pairs: DataFrame, name: str) -> tuple[DataFrame | None, DataFrame | None]:
         """All links so far, and the root of each node that has one."""
@@ -251,9 +252,9 @@ def similar_classes(documents: DataFrame) -> DataFrame:
 
     def mixed(buckets: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
         """The members (key, rep, root) of buckets that hold several components."""
-        inside = buckets.select("key", "rep").withColumn("root", F.col("rep"))
+        inside = buckets.select("key", "band", "rep").withColumn("root", F.col("rep"))
         if roots is not None:
-            inside = buckets.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+            inside = buckets.select("key", "band", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("root"))
         several = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         return scratch.keep(inside.join(several, "key", "left_semi"), name)
 
@@ -270,13 +271,14 @@ def similar_classes(documents: DataFrame) -> DataFrame:
         least_n = sized.groupBy("key").agg(F.min("n").alias("least_n"))
         able = sized.join(least_n, "key").where(100 * F.col("s") >= THRESHOLD * (F.col("n") + F.greatest("least_n", "s") - F.col("s")))
         left = mixed(able, roots, "left1")
+    first_shared = F.array_position(F.zip_with("bands_centre", "bands_member", lambda a, b: a == b), True) == F.col("band") + 1
     turn, slots = 1, 8
     while not left.isEmpty():
         # Several centres for each bucket, one for each slot; more in each round, so that rounds stay few.
         dealt = left.withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots)))
         centres = dealt.groupBy("key", "slot").agg(F.min_by(F.struct(F.col("rep").alias("centre"), F.col("root").alias("centre_root")), "rep").alias("c")).select("key", "c.centre", "c.centre_root")
         rooted = scratch.keep(centres.join(named("centre"), "centre"), f"centres{turn}")
-        met = left.join(named("member").withColumnRenamed("member", "rep"), "rep").join(rooted, (left["key"] == rooted["key"]) & (F.col("root") != F.col("centre_root")) & alike("centre", "member"))
+        met = left.join(named("member").withColumnRenamed("member", "rep"), "rep").join(rooted, (left["key"] == rooted["key"]) & (F.col("root") != F.col("centre_root")) & alike("centre", "member") & first_shared)
         links, roots = linked(links, met.select(F.least("centre", "rep").alias("centre"), F.greatest("centre", "rep").alias("member")).distinct(), f"round{turn}")
         # A centre has met all that it could link.
         rest = left.join(rooted.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
