@@ -261,6 +261,8 @@ def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = QUANT
     """One row per document: doc_id, lang, n_bytes, log_perplexity, threshold, kept."""
     scratch = Scratch(documents.sparkSession)
     ids = trusted_ids.select("doc_id").distinct()
+    if fits_broadcast(ids.count(), 16):  # else the texts are exchanged by id
+        ids = F.broadcast(ids)
     found = tables(documents.select("doc_id", "text").join(ids, "doc_id", "left_semi"), scratch)
     n = sum(p.count() + w.count() for p, w in found.values())
     if fits_broadcast(n, 16, in_workers_bytes):
