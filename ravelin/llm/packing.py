@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.lake import Scratch
-from ravelin.llm.textblocks import SPACES, Rolling, blocks, plain, spread, utf8, words
+from ravelin.llm.textblocks import SPACES, Rolling, ascii_lower, blocks, plain, spread, table_of, utf8, words
 
 CAPACITY = 2048
 END_ID = 0
@@ -39,11 +39,17 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[int, WordCoder] = {}
 
 
+LETTERS = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
+#: Punctuation that always opens a new pre-token after a letter (no apostrophe, and nothing of a special token's spelling).
+OPENERS = table_of(b".,;:!?\"()[]{}-/*&%$#_=+~")
+
+
 class WordCoder:
-    """Ids of white-space separated words, remembered.
+    """Ids of words, remembered.
 
-    The vocabulary's pre-tokenizer never joins text across white space, so the
-    ids of a text are those of its words, one after the other.
+    The vocabulary's pre-tokenizer never joins text across white space, nor an
+    ASCII letter with punctuation after it, and it lower-cases; so the ids of a
+    text are those of its lower-cased units, one after the other.
     """
 
     def __init__(self, definition: str):
@@ -78,7 +84,12 @@ class WordCoder:
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all rows, and the first of each row (n + 1)."""
         buf, off = utf8(plain(column))
-        starts, ends, first = words(buf, off, SPACES)
+        if b"<|" not in buf.tobytes():  # else a special token could come of its capitals
+            buf = ascii_lower(buf)
+        starts, ends, _ = words(buf, off, SPACES)
+        cuts = np.flatnonzero(LETTERS[buf[:-1]] & OPENERS[buf[1:]]) + 1
+        starts, ends = np.union1d(starts, cuts), np.union1d(ends, cuts)
+        first = np.searchsorted(starts, off)
         keys, at, back = np.unique(WORD_KEYS.ranges(WORD_KEYS.prefix(buf), starts, ends), return_index=True, return_inverse=True)
         if len(self.rows) + len(keys) > CACHE_WORDS:
             self.clear()
