@@ -6,16 +6,18 @@
 2. A first graph comes from blocks: nodes are sorted along random directions
    (several, drawn once) and cut into blocks of bounded size, each searched
    exactly with matrix products.
-3. NN-descent: joins bring each node its neighbours' and reverse neighbours'
-   vectors, the local all-pairs of that bounded list propose closer links, and
-   each node keeps its best ``DEGREE``. A few rounds of iterative joins improve
-   the graph where block borders cut it.
+3. NN-descent: joins bring each node its ``DEGREE`` neighbours' and its reverse
+   neighbours' vectors, all pairs of that bounded list propose links, and each
+   node keeps its best ``DEGREE``. A pair is left out only where it can change
+   nothing: it is farther than the worst link that its node has, or both its
+   links were in the list a round ago. Rounds go on until the share of changed
+   links is at most ``SETTLED``, however many that takes.
 4. Queries start at their own node and at the neighbours there. In each step
    the unexpanded best of a beam are expanded through the graph by joins; the
-   search ends when no beam changes.
+   search ends when no beam changes, and not before.
 
 Reverse lists are cut to the ``REVERSE`` closest for proposing links (NN-descent
-samples them); queries rank all candidates met and distances are Euclidean in
+samples them) and for search; queries rank all candidates met and distances are Euclidean in
 double precision on the original vectors. Vectors that are null, zero, of
 another length than most, or hold null or non-finite components take no part.
 Repeated ids are told apart by nothing and answer alike. An empty table, or one
@@ -24,6 +26,8 @@ with a single vector, gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,19 +37,20 @@ from ravelin.llm.lake import Scratch
 
 NEAREST = 10
 DEGREE = 24
-REVERSE = 12
+REVERSE = 24
 BLOCK = 1024
 DIRECTIONS = 3
-DESCENTS = 2
+#: Descents end when at most this share of the links changed in one.
+SETTLED = 0.001
 BEAM = 192
-#: Most steps of a greedy search; beams settle in fewer.
-STEPS = 6
 
 
 def usable(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     v = F.col(vector)
+    width_of = dict(embeddings.dtypes)[vector]
+    exact = width_of if width_of == "array<float>" else "array<double>"  # floats stay floats where they are moved
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    rows = embeddings.select(F.col(key).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
+    rows = embeddings.select(F.col(key).cast("long").alias("vec_id"), v.cast(exact).alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     return rows.where(F.size("v") == (width["w"] if width else 0))
 
@@ -65,6 +70,7 @@ def distinct_nodes(rows: DataFrame, scratch: Scratch, least: int) -> tuple[DataF
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = flat.astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -122,43 +128,67 @@ def best_links(links: DataFrame, degree: int) -> DataFrame:
     return nearest.withColumn("rank", rank).where(F.col("rank") <= degree).drop("rank")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
-    """One round: neighbours of neighbours, through each node's list of links in both directions."""
+def lists_of(graph: DataFrame) -> DataFrame:
+    """(node, other): each node's links and the ``REVERSE`` closest of those that link to it."""
     back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "d")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("d", "other"))
-    both = graph.where("d IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= REVERSE).unionByName(back.withColumn("rank", rank).where(F.col("rank") <= REVERSE))
-    pairs = both.select("node", "other").distinct()
-    lists = pairs.join(nodes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.collect_list(F.struct("other", "v")).alias("near"))
+    return graph.select("node", "other").unionByName(back.withColumn("rank", rank).where(F.col("rank") <= REVERSE).select("node", "other")).distinct()
+
+
+def descend(graph: DataFrame, pairs: DataFrame, before: DataFrame | None, nodes: DataFrame, degree: int) -> DataFrame:
+    """One round: neighbours of neighbours, through the lists ``pairs``; those of the round ``before`` have met."""
+    if before is None:
+        flagged = pairs.withColumn("fresh", F.lit(True))
+    else:
+        flagged = pairs.join(before.withColumn("known", F.lit(True)), ["node", "other"], "left").select("node", "other", F.col("known").isNull().alias("fresh"))
+        flagged = flagged.join(flagged.where("fresh").select("node").distinct(), "node", "left_semi")
+    # A node with fewer links than it may have takes any.
+    reach = graph.groupBy(F.col("node").alias("other")).agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(float("inf")).alias("reach"))
+    known = nodes.withColumnRenamed("node", "other").join(reach, "other", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    lists = flagged.join(known, "other").groupBy("node").agg(F.collect_list(F.struct("other", "fresh", "reach", "v")).alias("near"))
 
     def work(batches):
         for batch in batches:
             near = batch.column("near")
             edge = near.offsets.to_numpy() - near.offsets[0].as_py()
             flat = near.flatten()
-            ids, m = flat.field("other").to_numpy(), _matrix(flat.field("v"))
+            ids, fresh, reach = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("other", "fresh", "reach"))
+            m = _matrix(flat.field("v"))
             out = [[], [], []]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if b - a > 1:
-                    for column, value in zip(out, _closest(ids[a:b], m[a:b], 8), strict=True):
-                        column.append(value)
+                d = _squared(m[a:b], m[a:b])
+                new = fresh[a:b]
+                closer = (d <= reach[a:b, None]) & (new[:, None] | new[None, :])
+                np.fill_diagonal(closer, False)
+                i, j = np.nonzero(closer)
+                for column, value in zip(out, (ids[a:b][i], ids[a:b][j], d[i, j]), strict=True):
+                    column.append(value)
             if out[0]:
                 a, b, d = (np.concatenate(x) for x in out)
                 # The same pair comes from many lists: once for each batch is enough.
                 order = np.lexsort((b, a))
                 a, b, d = a[order], b[order], d[order]
-                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(d[new])], ["node", "other", "d"])
 
-    return best_links(graph.unionByName(lists.select("near").mapInArrow(work, LINK)), degree)
+    return best_links(graph.select("node", "other", "d").unionByName(lists.select("near").mapInArrow(work, LINK)), degree)
 
 
-def build(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, descents: int = DESCENTS) -> DataFrame:
+def build(nodes: DataFrame, scratch: Scratch, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
     """The neighbour graph (node, other, d); ``nodes`` should be a written table."""
     first = nodes.select(F.size("v").alias("w")).first()
     graph = scratch.keep(block_links(nodes, nodes.count(), first["w"] if first else 1, degree), "graph0")
-    for turn in range(descents):
-        graph = scratch.keep(descend(graph, nodes, degree), f"graph{turn + 1}")
+    links, before, turn = graph.count(), None, 0
+    while links:
+        pairs = scratch.keep(lists_of(graph), f"lists{turn}")
+        closer = scratch.keep(descend(graph, pairs, before, nodes, degree), f"graph{turn + 1}")
+        changed = closer.join(graph, ["node", "other"], "left_anti").count()
         scratch.drop(f"graph{turn}")
+        scratch.drop(f"lists{turn - 1}")
+        graph, before, turn = closer, pairs, turn + 1
+        if changed <= settled * links:
+            break
     return graph
 
 
@@ -175,19 +205,19 @@ def distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("query_node", "node", "v", "qv").mapInArrow(work, "query_node long, node long, d double")
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, scratch: Scratch, beam: int = BEAM) -> DataFrame:
     """The beam (query_node, node, d) of each query node after greedy search from its own place."""
-    both = scratch.keep(graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "d").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("d"))).where(F.col("r") <= DEGREE).select("node", "other")).distinct(), "adjacent")
+    both = scratch.keep(lists_of(graph), "adjacent")
     state = queries.select("query_node").distinct().select("query_node", F.col("query_node").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("query_node").orderBy("d", "node"))
-    for turn in range(steps):
+    for turn in count():
         opened = state.where("fresh").select("query_node", "node").join(both, "node").select("query_node", F.col("other").alias("node")).distinct()
         new = distances(opened.join(state.select("query_node", "node"), ["query_node", "node"], "left_anti"), nodes).withColumn("fresh", F.lit(True))
         merged = state.withColumn("fresh", F.lit(False)).unionByName(new).withColumn("rank", rank).where(F.col("rank") <= beam).drop("rank")
         state = scratch.keep(merged, f"beam{turn}")
+        scratch.drop(f"beam{turn - 1}")
         if state.where("fresh").isEmpty():
-            break
-    return state
+            return state
 
 
 def nearest(embeddings: DataFrame, is_query, k: int = NEAREST) -> DataFrame:

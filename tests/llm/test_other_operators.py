@@ -102,3 +102,20 @@ def test_neighbours_small(spark):
     assert neighbours.nearest(spark.createDataFrame([(1, [1.0, 2.0])], schema), lambda v: v >= 0).count() == 0
     two = neighbours.nearest(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [4.0, 6.0])], schema), lambda v: v >= 0).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in two) == [(1, 1, 2, 0.0), (1, 2, 3, 5.0), (2, 1, 1, 0.0), (2, 2, 3, 5.0), (3, 1, 1, 5.0), (3, 2, 2, 5.0)]
+
+
+def test_graph_settles(spark, tmp_path):
+    """Unclustered vectors in many blocks: descents must go on until the links hardly change."""
+    from ravelin.llm.lake import Scratch
+
+    m = np.random.default_rng(11).normal(size=(12000, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    scratch = Scratch(spark)
+    nodes = scratch.keep(spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "node long, v array<double>"), "nodes")
+    graph = neighbours.build(nodes, scratch).where("node % 100 = 0").toPandas()
+    hits = 0
+    for q in range(0, len(m), 100):
+        d = ((m - m[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(graph[graph.node == q].other))
+    assert hits >= 0.95 * 10 * 120
