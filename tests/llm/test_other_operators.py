@@ -119,3 +119,11 @@ def test_graph_settles(spark, tmp_path):
         d[q] = np.inf
         hits += len(set(np.argsort(d)[:10]) & set(graph[graph.node == q].other))
     assert hits >= 0.95 * 10 * 120
+
+
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_names_in_any_place_and_case(spark, docs, broadcast):
+    tom = "Tom has 12 kg of apples. Tom gives 5 kg to Ann. Tom buys 3 more kg today. How many kg does Tom have now?"
+    rows = [(1, tom.replace("Tom", "Max").replace("Ann", "Zoe")), (2, QUESTION.upper()), (3, QUESTION.lower()), (4, tom.upper())]
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.leaks(docs(rows), items(spark, [(8, tom), (9, QUESTION)]), broadcast_bytes=broadcast).collect()}
+    assert got == {(1, 8): True, (2, 9): False, (3, 9): False, (4, 8): False}
