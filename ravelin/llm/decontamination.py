@@ -125,7 +125,7 @@ class Templates:
         out, seen = [], []
         template = enough[WITHIN]
         for reading, key in keys.items():
-            new = enough[reading].copy()
+            new = np.ones(len(at), bool)
             for other in seen:
                 new &= key != keys[other]
             seen.append(reading)
@@ -143,7 +143,7 @@ def _window_rows(part: pa.RecordBatch, name: str, sizes: list[int] | None, wante
     lengths = np.diff(t.first)
     out = []
     for size in sorted(set(np.minimum(lengths, WINDOW).tolist())) if sizes is None else sizes:
-        if size < SHORTEST:
+        if size < 1:
             continue
         for keys, at, rows, bits, reading, template in t.windows(size):
             fit = np.minimum(lengths, WINDOW)[rows] == size if sizes is None else np.ones(len(rows), bool)

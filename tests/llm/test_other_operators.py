@@ -127,3 +127,11 @@ def test_names_in_any_place_and_case(spark, docs, broadcast):
     rows = [(1, tom.replace("Tom", "Max").replace("Ann", "Zoe")), (2, QUESTION.upper()), (3, QUESTION.lower()), (4, tom.upper())]
     got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.leaks(docs(rows), items(spark, [(8, tom), (9, QUESTION)]), broadcast_bytes=broadcast).collect()}
     assert got == {(1, 8): True, (2, 9): False, (3, 9): False, (4, 8): False}
+
+
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_items_without_literals(spark, docs, broadcast):
+    sort = "Sort 3, 8, 1, 9, 4, 7, 2 and 6 in order: 1 2 3 4 6 7 8 9"
+    rows = [(1, f"{text_of(1, 20)} {sort} {text_of(2, 9)}"), (2, sort.translate(str.maketrans("123456789", "234567891"))), (3, "We know 7 x 8 by heart"), (4, "7 x 9")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(rows), items(spark, [(8, sort), (9, "7 x 8")]), broadcast_bytes=broadcast).collect()}
+    assert got == {(1, 8), (3, 9)}
