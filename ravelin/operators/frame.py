@@ -9,6 +9,7 @@ each owner. Every join is N:1 and outer, so rows are never dropped or repeated.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.errors import bad, unsupported
+from ravelin.errors import QueryError, bad, unsupported
 from ravelin.functions.patterns import to_java
 from ravelin.functions.scalars import BOOLEAN, FUNCTIONS, UNSUPPORTED
 from ravelin.plans.tree import AggregateItem, Aggregated, Alias, Binary, Call, Counted, Items, Literal, Node, Path, Quantified, Unary
@@ -28,6 +29,7 @@ COMPARE = {"eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "gt": lambda a,
 WIDER = {
     "Edm.Byte": "smallint", "Edm.SByte": "tinyint", "Edm.Int16": "smallint", "Edm.Int32": "int", "Edm.Int64": "bigint", "Edm.Single": "float", "Edm.Double": "double", "Edm.Decimal": "decimal(38,10)",
 }
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 _RANK = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3, "decimal": 4, "float": 5, "double": 6}
 
 
@@ -317,19 +319,7 @@ class Frame:
             case "has":
                 return self.has(a, b)
         x, y = self.compile(a), self.compile(b)
-        match op:
-            case "add":
-                return x + y
-            case "sub":
-                return x - y
-            case "mul":
-                return x * y
-            case "mod":
-                return F.try_mod(x, y)
-            case "divby":
-                return F.try_divide(x, y)
-        whole = all(self.type_of(z) in ("tinyint", "smallint", "int", "bigint") for z in (x, y))
-        return F.when(y != 0, F.call_function("div", x, F.when(y != 0, y))) if whole else F.try_divide(x, y)
+        return arithmetic(op, x, y, lambda: (self.type_of(x), self.type_of(y)))
 
     def type_of(self, column: Column) -> str:
         return self.df.select(column.alias("x")).schema["x"].dataType.simpleString()
@@ -355,11 +345,7 @@ class Frame:
             plain = isinstance(b, Literal) and b.value == b.value and op in ("lt", "le", "eq")
             result = COMPARE[op](x, y)
             return result & ~F.isnan(side) if of in ("double", "float") and not plain else result
-        result = F.coalesce(COMPARE[op](x, y), F.lit(other))
-        nan = [F.isnan(z) for z, k in ((x, kind), (y, self.type_of(y))) if k in ("double", "float")]
-        for test in nan:
-            result = F.when(F.coalesce(test, F.lit(False)), F.lit(other)).otherwise(result)
-        return result
+        return two_valued(op, x, y, (kind, self.type_of(y)))
 
     def fitted(self, node: Node, kind: str) -> Column:
         """A literal typed by the property that it meets."""
@@ -411,10 +397,13 @@ class Frame:
         if not all(isinstance(x, Literal) for x in b.items):
             raise unsupported("in with other than literals")
         x = self.compile(a)
-        kind = self.type_of(x)
-        values = [self.fitted(i, kind) for i in b.items if i.kind != "null" and not (kind in ("tinyint", "smallint", "int", "bigint") and i.kind in ("decimal", "double") and i.value != int(i.value))]  # type: ignore[union-attr]
+        return self.among(x, self.type_of(x), b.items)
+
+    def among(self, x: Column, kind: str, items: tuple) -> Column:
+        """Two-valued; a null in the list finds nulls, and NaN is found by nothing."""
+        values = [self.fitted(i, kind) for i in items if i.kind != "null" and i.value == i.value and not (kind in INTEGERS and i.kind in ("decimal", "double") and i.value % 1 != 0)]
         found = F.coalesce(x.isin(*values), F.lit(False)) if values else F.lit(False)
-        return found | x.isNull() if any(i.kind == "null" for i in b.items) else found  # type: ignore[union-attr]
+        return found | x.isNull() if any(i.kind == "null" for i in items) else found
 
     def has(self, a: Node, b: Node) -> Column:
         if not isinstance(b, Literal) or b.kind not in ("enum", "int"):
@@ -434,7 +423,7 @@ class Frame:
                 return F.lit(str(path) in self.shape)
             try:
                 self.copy().value(path)
-            except Exception:  # noqa: BLE001  a path that can't be resolved is not defined
+            except QueryError:  # a path that can't be resolved is not defined
                 return F.lit(False)
             return F.lit(True)
         if name == "now":
@@ -522,7 +511,7 @@ class Frame:
             return F.size(array) > 0
 
         def truth(x: Column) -> Column:
-            return _over_element(self, node.body, node.variable or "", x)  # type: ignore[arg-type]
+            return _over_element(self, array, node.body, node.variable or "", x)  # type: ignore[arg-type]
 
         if node.kind == "any":
             return F.exists(array, truth)
@@ -533,7 +522,7 @@ class Frame:
             return self.of_these(AggregateItem(None, None, ""))
         array = self._array(path)
         if array is not None:
-            return F.size(array) if where is None else F.size(F.filter(array, lambda x: F.coalesce(_over_element(self, where, "$this", x), F.lit(False))))
+            return F.size(array) if where is None else F.size(F.filter(array, lambda x: F.coalesce(_over_element(self, array, where, "$this", x), F.lit(False))))
         known = str(Counted(path, where))
         if known not in self.done:
             def totals(frame: Frame) -> dict[str, Column]:
@@ -689,9 +678,42 @@ def _mentions(node: Node | None, names: set[str]) -> bool:
     return any(_mentions(p, names) for p in parts if p is not None)
 
 
-def _over_element(frame: Frame, node: Node, variable: str, x: Column) -> Column:
+def arithmetic(op: str, x: Column, y: Column, types: Callable[[], tuple[str, str]]) -> Column:
+    """``x op y``; div of integers is integer division, and by zero both kinds give null."""
+    match op:
+        case "add":
+            return x + y
+        case "sub":
+            return x - y
+        case "mul":
+            return x * y
+        case "mod":
+            return F.try_mod(x, y)
+        case "divby":
+            return F.try_divide(x, y)
+    if all(t in INTEGERS for t in types()):
+        return F.when(y != 0, F.call_function("div", x, F.when(y != 0, y)))
+    return F.try_divide(x, y)
+
+
+def two_valued(op: str, x: Column, y: Column, kinds: tuple[str, str]) -> Column:
+    """A comparison that is false with a null or NaN operand (ne: true)."""
+    other = op == "ne"
+    result = F.coalesce(COMPARE[op](x, y), F.lit(other))
+    for z, kind in zip((x, y), kinds, strict=True):
+        if kind in ("double", "float"):
+            result = F.when(F.coalesce(F.isnan(z), F.lit(False)), F.lit(other)).otherwise(result)
+    return result
+
+
+def _over_element(frame: Frame, array: Column, node: Node, variable: str, x: Column) -> Column:
     """A condition over one element of an array column."""
 
+    def kind(n: Node) -> str:
+        if isinstance(n, Literal):
+            return frame.type_of(frame.compile(n))
+        return frame.type_of(F.get(F.transform(array, lambda e: _over_element(frame, array, n, variable, e)), F.lit(0)))
+
     def go(n: Node) -> Column:
         match n:
             case Path(segments) if segments[0] == variable:
@@ -700,18 +722,27 @@ def _over_element(frame: Frame, node: Node, variable: str, x: Column) -> Column:
                     out = out.getField(s)
                 return out
             case Binary(op, a, b) if op in COMPARE:
+                if isinstance(a, Literal) and not isinstance(b, Literal):
+                    a, b = b, a
+                    op = {"gt": "lt", "lt": "gt", "ge": "le", "le": "ge"}.get(op, op)
                 if isinstance(b, Literal) and b.kind == "null":
-                    return go(a).isNull() if op == "eq" else go(a).isNotNull()
-                return F.coalesce(COMPARE[op](go(a), go(b)), F.lit(op == "ne"))
+                    return go(a).isNull() if op == "eq" else go(a).isNotNull() if op == "ne" else F.lit(False)
+                of = kind(a)
+                y = frame.fitted(b, of) if isinstance(b, Literal) else go(b)
+                return two_valued(op, go(a), y, (of, kind(b)))
             case Binary("and", a, b):
                 return go(a) & go(b)
             case Binary("or", a, b):
                 return go(a) | go(b)
             case Binary("in", a, Items(items)):
-                return F.coalesce(go(a).isin(*[literal(i) for i in items]), F.lit(False))
+                if not all(isinstance(i, Literal) for i in items):
+                    raise unsupported("in with other than literals")
+                return frame.among(go(a), kind(a), items)
+            case Binary("has", a, b) if isinstance(b, Literal):
+                mask = frame.enum_value(b, "int") if b.kind == "enum" else F.lit(b.value)
+                return go(a).bitwiseAND(mask) == mask
             case Binary(op, a, b):
-                left, right = go(a), go(b)
-                return {"add": left + right, "sub": left - right, "mul": left * right}.get(op, F.try_divide(left, right))
+                return arithmetic(op, go(a), go(b), lambda: (kind(a), kind(b)))
             case Unary("not", a):
                 return ~go(a)
             case Unary(_, a):

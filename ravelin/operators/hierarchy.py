@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,6 @@ from ravelin.operators.frame import Frame, c, fresh
 from ravelin.plans.tree import Literal, Node, Order, Path
 from ravelin.sources.model import EntitySet, Hierarchy
 
-DEEPEST = 1000
-
 
 def find(frame: Frame, set_name: str, qualifier: str) -> tuple[EntitySet, Hierarchy]:
     entity = frame.ctx.model.set(set_name)
@@ -38,9 +37,11 @@ def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         import tempfile
 
-        folder = tempfile.mkdtemp(prefix="ravelin-")
+        folder = tempfile.mkdtemp(prefix="ravelin-")  # one machine: its folders are shared
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/ravelin-{uuid.uuid4().hex}"
     schema = df.schema
@@ -48,28 +49,12 @@ def _cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def reach(start: DataFrame, pairs: DataFrame, up: bool, deepest: int | None) -> DataFrame:
-    """(start, node, distance) of all that is reached; breadth first, so distances are least and cycles end."""
-    step = pairs.select(F.col("node").alias("from"), F.col("parent").alias("to")) if up else pairs.select(F.col("parent").alias("from"), F.col("node").alias("to"))
-    seen = _cut(start.select("node").distinct().select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")))
-    frontier, turn = seen, 0
-    while turn < (DEEPEST if deepest is None else deepest):
-        turn += 1
-        new = frontier.join(step, frontier["node"] == step["from"]).select("start", F.col("to").alias("node")).distinct()
-        new = _cut(new.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(turn)))
-        if new.isEmpty():
-            break
-        frontier, seen = new, seen.unionByName(new)
-    return seen
-
-
 def reach_any(start: DataFrame, pairs: DataFrame, up: bool, deepest: int | None) -> DataFrame:
     """(node, distance) reached from any start: one row a node, which is all that a semi-join needs."""
     step = pairs.select(F.col("node").alias("from"), F.col("parent").alias("to")) if up else pairs.select(F.col("parent").alias("from"), F.col("node").alias("to"))
     seen = _cut(start.select("node").distinct().withColumn("distance", F.lit(0)))
-    frontier, turn = seen, 0
-    while turn < (DEEPEST if deepest is None else deepest):
-        turn += 1
+    frontier = seen
+    for turn in count(1) if deepest is None else range(1, deepest + 1):
         new = frontier.join(step, frontier["node"] == step["from"]).select(F.col("to").alias("node")).distinct()
         new = _cut(new.join(seen, "node", "left_anti").withColumn("distance", F.lit(turn)))
         if new.isEmpty():
@@ -128,7 +113,7 @@ def place(frame: Frame, entity: EntitySet, h: Hierarchy, orders: tuple[Order, ..
     rows = _cut(rows)
     level = _cut(rows.where("parent IS NULL").select("node", F.array("rank").alias("path")))
     found = level
-    for _ in range(DEEPEST):
+    while True:  # nodes on cycles have no root, so paths end
         below = rows.join(level.select(F.col("node").alias("parent"), "path"), "parent").select("node", F.concat("path", F.array("rank")).alias("path"))
         level = _cut(below)
         if level.isEmpty():

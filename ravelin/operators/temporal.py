@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ravelin.errors import bad
 from ravelin.operators.frame import Frame, c, literal
+from ravelin.operators.hierarchy import _cut
 from ravelin.plans.tree import Literal, Options
 from ravelin.sources.model import Timeline
 
@@ -113,8 +114,19 @@ def removed_periods(df: DataFrame, line: Timeline, delta: dict) -> DataFrame:
 
 
 def upsert(df: DataFrame, line: Timeline, deltas: Sequence[dict]) -> DataFrame:
-    """Update, and new slices where the object has gaps in the period: from the slice just before, else from the delta."""
-    for delta in deltas:
+    """Update, and new slices where the object has gaps in the period: from the slice just before, else from the delta.
+
+    Only the objects that deltas name are worked on; each delta's result is
+    written, so that the plan of the next one does not hold it several times.
+    """
+    if not deltas:
+        return _marked(df)
+    named = functools.reduce(lambda x, y: x | y, [functools.reduce(lambda x, y: x & y, [c(k) == F.lit(v) for k, v in d["key"].items()], F.lit(bool(d["key"]))) for d in deltas])
+    mine_all = F.coalesce(named, F.lit(False))
+    rest, df = _marked(df).where(~mine_all), _marked(df).where(mine_all)
+    for turn, delta in enumerate(deltas):
+        if turn:
+            df = _cut(df)
         if set(delta["key"]) != set(line.object_key):
             raise bad("an upsert needs the whole object key")
         base = _marked(df)
@@ -150,7 +162,7 @@ def upsert(df: DataFrame, line: Timeline, deltas: Sequence[dict]) -> DataFrame:
         lead_to = F.least(F.coalesce(F.col("first"), F.lit(OPEN).cast(kind)), b)
         lead = head.where(a < lead_to).select(filled("", a, lead_to, False).alias("p")).select("p.*")
         df = changed.unionByName(gaps).unionByName(lead)
-    return _marked(df)
+    return rest.unionByName(df)
 
 
 def touched(df: DataFrame, line: Timeline) -> DataFrame:

@@ -197,9 +197,10 @@ class Store:
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(pointers).encode()))
         out.close()
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(fresh, final)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        # One step: readers see the old pointer or the new one. It raises where it fails.
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, final, options)
         self.staged = {}
 
     def change_set(self, operations: Sequence[Callable[[Store], None]]) -> None:

@@ -1,38 +1,62 @@
-"""Two small null-rich models: a product catalogue and a staff list."""
+"""A small model rich in nulls: boats in a marina, their riggers, the crew, buoys and berth rates."""
 
 from __future__ import annotations
 
 import datetime as dt
 from decimal import Decimal
 
-from ravelin.sources.model import EntityModel, EntitySet, Enum, Hierarchy, Nav, Timeline
+from pyspark.sql import DataFrame, SparkSession
 
+from ravelin.sources.model import EntityModel, EntitySet, Enum, Hierarchy, Loader, Nav, Timeline
 
-def catalogue() -> EntityModel:
+BOATS = [
+    # Hull, Title, Rig, Length, Sold, HarbourId
+    (1, "Heron", "sloop", 9.5, False, 10),
+    (2, "heron II", "ketch", 14.25, False, 10),
+    (3, "Osprey", None, 9.5, True, 20),
+    (4, " Tern ", "sloop", None, None, 20),
+    (5, "Gull", None, None, False, None),
+    (6, "Skua", "yawl", 22.0, None, 30),
+    (7, "Petrel", "cutter sloop", 7.0, True, None),
+]
+HARBOURS = [(10, "North Quay", "Ostend"), (20, "Mole", None), (30, "Basin", "Brest"), (40, "Empty Dock", "Brest")]
+RIGGERS = [(100, "Aldo", "IT"), (200, "Berit", None), (300, "Cleo", "GR")]
+RIGGED = [(1, 100), (1, 200), (2, 200), (3, 300), (6, 100), (6, 200), (6, 300)]
+CREW = [
+    (1, "Vera", "Skipper", 900, None, dt.datetime(2020, 2, 29, 12)),
+    (2, "Wim", "Skipper", None, 1, dt.datetime(2021, 12, 31, 23, 45)),
+    (3, "Xeno", "Hand", None, 1, dt.datetime(2022, 1, 1)),
+    (4, "Yuki", "Hand", None, 2, None),
+    (5, "Zora", "Hand", None, 2, dt.datetime(2022, 6, 15, 6, 30)),
+]
+BUOYS = [(1, 9, ["bell", None], [3, 7, 10]), (2, 2, [], [4]), (3, None, None, None), (4, 11, ["horn", "bell"], [5, None])]
+RATES = [
+    (1, "east", 40, dt.datetime(2023, 1, 1), dt.datetime(2023, 4, 1)),
+    (2, "east", 60, dt.datetime(2023, 4, 1), dt.datetime(2023, 7, 1)),
+    (3, "east", 75, dt.datetime(2023, 10, 1), None),
+    (4, "west", 20, dt.datetime(2023, 1, 1), None),
+]
+
+
+def loaded(rows: list[tuple], schema: str) -> Loader:
+    def load(spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([tuple(Decimal(str(x)) if isinstance(x, float) else x for x in r) for r in rows], schema)
+
+    return load
+
+
+def marina() -> EntityModel:
     model = EntityModel()
-    price = lambda x: None if x is None else Decimal(str(x))
-    products = [
-        (1, "Chai", "10 boxes x 20 bags", 18, False, 1), (2, "Chang", "24 - 12 oz bottles", 19, False, 1), (3, "Aniseed Syrup", None, 10, False, 2),
-        (4, "Chef Anton's Cajun Seasoning", "48 - 6 oz jars", 22, False, 2), (5, "Chef Anton's Gumbo Mix", None, 21.35, True, 2), (6, "Ikura", "12 - 200 ml jars", 31, False, None),
-        (7, "chai latte", None, 4.5, None, 1), (8, "Mystery", None, None, True, None), (9, " Pavlova ", "32 - 500 g boxes", 17.45, False, 2),
-    ]
-    rows = [(a, b, c, price(d), e, f) for a, b, c, d, e, f in products]
-    suppliers = [(1, "Exotic Liquids", "London", "UK"), (2, "New Orleans Cajun Delights", "New Orleans", "USA"), (3, "Tokyo Traders", "Tokyo", "Japan")]
-    pairs = [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (6, 1), (9, 3)]
-    bridge = lambda spark: spark.createDataFrame(pairs, "ProductID int, SupplierID int")
-    model.add(EntitySet("Products", "Product", ("ProductID",), lambda spark: spark.createDataFrame(rows, "ProductID int, ProductName string, QuantityPerUnit string, UnitPrice decimal(10,4), Discontinued boolean, CategoryID int"), (
-        Nav("Category", "Categories", (("CategoryID", "CategoryID"),)), Nav("Suppliers", "Suppliers", (("ProductID", "ProductID"),), True, bridge, (("SupplierID", "SupplierID"),)),
-    )))
-    model.add(EntitySet("Categories", "Category", ("CategoryID",), lambda spark: spark.createDataFrame([(1, "Beverages"), (2, "Condiments"), (3, "Produce")], "CategoryID int, CategoryName string"), (Nav("Products", "Products", (("CategoryID", "CategoryID"),), True),)))
-    model.add(EntitySet("Suppliers", "Supplier", ("SupplierID",), lambda spark: spark.createDataFrame(suppliers, "SupplierID int, CompanyName string, City string, Country string"), (Nav("Products", "Products", (("SupplierID", "SupplierID"),), True, bridge, (("ProductID", "ProductID"),)),)))
-    stamp = lambda *x: dt.datetime(*x)
-    staff = [(1, "Ann", "Manager", price(5000), None, stamp(2019, 6, 1, 9)), (2, "Bob", "Manager", price(800), 1, stamp(2024, 12, 31, 23, 30)), (3, "Cy", "Employee", None, 2, stamp(2025, 1, 1)), (4, "Di", "Employee", None, 2, None)]
-    model.add(EntitySet("Employees", "Employee", ("Id",), lambda spark: spark.createDataFrame(staff, "Id int, Name string, Kind string, Budget decimal(10,2), ManagerId int, Hired timestamp_ntz"), (
-        Nav("Manager", "Employees", (("ManagerId", "Id"),)), Nav("Reports", "Employees", (("Id", "ManagerId"),), True),
-    ), type_column="Kind", subtypes={"Employee": ("Employee", "Manager"), "Manager": ("Manager",)}, hierarchies={"Chain": Hierarchy("Id", "ManagerId")}))
-    model.enums["Features"] = Enum((("Stripes", 1), ("Spots", 2), ("Mane", 4)), True)
-    animals = [(1, "Leo", 4, ["King", None]), (2, "Zed", 1, []), (3, "Lu", 6, ["Lulu"]), (4, "Moe", None, None)]
-    model.add(EntitySet("Animals", "Animal", ("Id",), lambda spark: spark.createDataFrame(animals, "Id int, Name string, Marks int, Nicknames array<string>")))
-    spans = [(1, "a", 10, stamp(2024, 1, 1), stamp(2024, 2, 1)), (2, "a", 20, stamp(2024, 3, 1), None), (3, "b", 30, stamp(2024, 1, 1), None)]
-    model.add(EntitySet("Prices", "Price", ("Id",), lambda spark: spark.createDataFrame(spans, "Id int, Item string, Amount int, Since timestamp_ntz, Until timestamp_ntz"), timeline=Timeline(("Item",), "Since", "Until")))
+    bridge = loaded(RIGGED, "Hull int, RiggerId int")
+    at_harbour, rigged_by = Nav("Harbour", "Harbours", (("HarbourId", "HarbourId"),)), Nav("Riggers", "Riggers", (("Hull", "Hull"),), True, bridge, (("RiggerId", "RiggerId"),))
+    model.add(EntitySet("Boats", "Boat", ("Hull",), loaded(BOATS, "Hull int, Title string, Rig string, Length decimal(8,2), Sold boolean, HarbourId int"), (at_harbour, rigged_by)))
+    model.add(EntitySet("Harbours", "Harbour", ("HarbourId",), loaded(HARBOURS, "HarbourId int, Label string, City string"), (Nav("Boats", "Boats", (("HarbourId", "HarbourId"),), True),)))
+    model.add(EntitySet("Riggers", "Rigger", ("RiggerId",), loaded(RIGGERS, "RiggerId int, Name string, Country string"), (Nav("Boats", "Boats", (("RiggerId", "RiggerId"),), True, bridge, (("Hull", "Hull"),)),)))
+    crew = EntitySet("Crew", "Hand", ("Id",), loaded(CREW, "Id int, Name string, Kind string, Pay int, BossId int, Joined timestamp_ntz"), (Nav("Boss", "Crew", (("BossId", "Id"),)), Nav("Reports", "Crew", (("Id", "BossId"),), True)))
+    crew.type_column, crew.subtypes = "Kind", {"Hand": ("Hand", "Skipper"), "Skipper": ("Skipper",)}
+    crew.hierarchies["Watch"] = Hierarchy("Id", "BossId")
+    model.add(crew)
+    model.enums["Lamps"] = Enum((("Red", 1), ("Green", 2), ("White", 8)), True)
+    model.add(EntitySet("Buoys", "Buoy", ("Id",), loaded(BUOYS, "Id int, Lights int, Sounds array<string>, Depths array<int>")))
+    model.add(EntitySet("Rates", "Rate", ("Id",), loaded(RATES, "Id int, Berth string, Amount int, Since timestamp_ntz, Until timestamp_ntz"), timeline=Timeline(("Berth",), "Since", "Until")))
     return model

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ravelin.engine import Engine
 from ravelin.errors import QueryError
-from ravelin.operators import changes, merge, temporal, writes
+from ravelin.operators import changes, hierarchy, merge, temporal, writes
 from ravelin.sources import csdl
 from ravelin.streaming import events
 from tests.conftest import SMALL
-from tests.fixtures import catalogue
+from tests.fixtures import marina
 
 
 def rows(df, *by):
@@ -21,16 +21,24 @@ def rows(df, *by):
 
 
 def test_upsert_fills_gaps(spark):
-    model = catalogue()
-    s = model.set("Prices")
-    delta = {"key": {"Item": "a"}, "start": "2024-01-15T00:00:00", "end": "2024-03-15T00:00:00", "values": {"Amount": 99}}
+    s = marina().set("Rates")
+    delta = {"key": {"Berth": "east"}, "start": "2023-06-01T00:00:00", "end": "2023-11-01T00:00:00", "values": {"Amount": 99}}
+
+    def slices(df, berth):
+        return [(r["Amount"], str(r["Since"])[:10], str(r["Until"])[:10]) for r in df.where(F.col("Berth") == berth).orderBy("Since").collect()]
+
     out = temporal.upsert(s.load(spark), s.timeline, [delta])
-    got = [(r["Amount"], str(r["Since"])[:10], str(r["Until"])[:10]) for r in out.where("Item = 'a'").orderBy("Since").collect()]
-    assert got == [(10, "2024-01-01", "2024-01-15"), (99, "2024-01-15", "2024-02-01"), (99, "2024-02-01", "2024-03-01"), (99, "2024-03-01", "2024-03-15"), (20, "2024-03-15", "None")]
-    new = temporal.upsert(s.load(spark), s.timeline, [delta | {"key": {"Item": "z"}}])
-    assert [(r["Amount"], str(r["Since"])[:10]) for r in new.where("Item = 'z'").collect()] == [(99, "2024-01-15")]
+    first = [(40, "2023-01-01", "2023-04-01"), (60, "2023-04-01", "2023-06-01")]
+    assert slices(out, "east") == [*first, (99, "2023-06-01", "2023-07-01"), (99, "2023-07-01", "2023-10-01"), (99, "2023-10-01", "2023-11-01"), (75, "2023-11-01", "None")]
+    assert slices(out, "west") == [(20, "2023-01-01", "None")]
+    new = temporal.upsert(s.load(spark), s.timeline, [delta | {"key": {"Berth": "north"}}])
+    assert slices(new, "north") == [(99, "2023-06-01", "2023-11-01")]
     with pytest.raises(QueryError):
         temporal.upsert(s.load(spark), s.timeline, [delta | {"key": {}}])
+    # Several deltas apply in order; the plan of one does not hold that of those before.
+    many = [delta | {"start": f"2023-{m:02d}-01T00:00:00", "end": f"2023-{m:02d}-15T00:00:00", "values": {"Amount": m}} for m in range(1, 7)]
+    got = slices(temporal.upsert(s.load(spark), s.timeline, [*many, delta | {"key": {"Berth": "north"}}]), "east")
+    assert [x for x in got if x[0] < 10] == [(m, f"2023-{m:02d}-01", f"2023-{m:02d}-15") for m in range(1, 7)] and len(got) == 13
 
 
 def test_store_publishes_all_or_nothing(spark, tmp_path):
@@ -49,6 +57,50 @@ def test_store_publishes_all_or_nothing(spark, tmp_path):
     assert rows(store.read("A")) == [(2, "y")]
 
 
+def test_pointer_is_replaced_in_one_step(spark, tmp_path, monkeypatch):
+    """The pointer file is there at every moment of a publication."""
+    store = writes.Store(spark, str(tmp_path))
+    a = spark.createDataFrame([(1,)], "id int")
+    store.change_set([lambda s: s.stage("A", a)])
+    seen = []
+    fs = store._fs(str(tmp_path))[0]
+    monkeypatch.setattr(type(fs), "delete", lambda *x: seen.append("deleted"), raising=False)
+    store.change_set([lambda s: s.stage("A", a.limit(0))])
+    assert not seen and store.read("A").count() == 0
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("current") and p.name != "current.json"] == []
+
+
+def test_deep_chain_is_whole(spark):
+    """No depth ends a hierarchy early."""
+    from ravelin.sources.model import EntityModel, EntitySet, Hierarchy
+
+    model = EntityModel()
+    chain = EntitySet("Links", "Link", ("Id",), lambda s: s.range(1, 61).select(F.col("id").cast("int").alias("Id"), F.when(F.col("id") > 1, F.col("id") - 1).cast("int").alias("Up")))
+    chain.hierarchies["Chain"] = Hierarchy("Id", "Up")
+    model.add(chain)
+    engine = Engine(spark, model)
+    assert not hasattr(hierarchy, "DEEPEST")
+    assert engine.query("Links?$apply=descendants($root/Links,Chain,Id,Id eq 1,keep start)").count() == 60
+    assert [r[0] for r in engine.query("Links?$apply=traverse($root/Links,Chain,Id,preorder)&$select=Id").collect()] == list(range(1, 61))
+
+
+def test_top_slices(spark):
+    """Slices of the value order: as many as the rows need, and a value that all rows share is cut too."""
+    from ravelin.operators import select_top
+
+    df = spark.range(4000).select("id", F.when(F.col("id") < 3000, 5).otherwise(F.col("id")).cast("long").alias("v"))
+    for rows_per_slice in (100, 10**6):
+        got, before, total = select_top.ordered_prefix(df, F.col("v"), True, ["id"], [], rows_per_slice)
+        order = sorted(((r["v"], r["id"]) for r in df.collect()), key=lambda x: (-x[0], x[1]))
+        want, run = {}, 0
+        for v, i in order:
+            want[i] = run
+            run += v
+        assert {r["id"]: r[before] for r in got.collect()} == want and got.select(total).first()[0] == run
+        ranked, at, _ = select_top.ordered_rank(df, F.col("v"), False, ["id"], rows_per_slice)
+        assert [r["id"] for r in ranked.orderBy(at).collect()] == [i for _, i in sorted((v, i) for v, i in order)]
+
+
 def test_write_checks(spark):
     a = spark.createDataFrame([(1, "x", 10), (2, "y", None)], "id int, v string, n int")
     with pytest.raises(QueryError) as e:
@@ -119,40 +171,40 @@ def test_changes_and_tokens(spark):
 
 
 def test_metadata_round_trip(spark):
-    model = catalogue()
+    model = marina()
     document = csdl.metadata(spark, model)
     again = csdl.from_xml(csdl.to_xml(document))
-    entity = again["Default"]["Product"]
-    assert entity["$Key"] == ["ProductID"] and entity["UnitPrice"]["$Scale"] == 4 and entity["Category"]["$ReferentialConstraint"] == {"CategoryID": "CategoryID"}
+    entity = again["Default"]["Boat"]
+    assert entity["$Key"] == ["Hull"] and entity["Length"]["$Scale"] == 2 and entity["Harbour"]["$ReferentialConstraint"] == {"HarbourId": "HarbourId"}
     read = csdl.model_of(csdl.to_xml(document), {n: s.load for n, s in model.sets.items()})
-    assert Engine(spark, read).query("Products?$filter=Category/CategoryName eq 'Beverages'").count() == 3
-    assert csdl.schema_of(entity, again)["UnitPrice"].dataType.simpleString() == "decimal(10,4)"
-    assert read.enums["Features"].flags
+    assert Engine(spark, read).query("Boats?$filter=Harbour/City eq 'Ostend'").count() == 2
+    assert csdl.schema_of(entity, again)["Length"].dataType.simpleString() == "decimal(8,2)"
+    assert read.enums["Lamps"].flags
 
 
 def test_pages_cover_all(spark):
-    engine = Engine(spark, catalogue())
-    for url in ("Products?$select=ProductName", "Products?$orderby=UnitPrice desc&$select=ProductID", "Products?$top=7&$count=true"):
+    engine = Engine(spark, marina())
+    for url in ("Boats?$select=Title", "Boats?$orderby=Length desc&$select=Hull", "Boats?$top=5&$count=true"):
         seen, link = 0, url
         while link:
-            page = engine.page(link, 4)
+            page = engine.page(link, 3)
             seen, link = seen + page.rows.count(), page.next_link
-        assert seen == (7 if "top" in url else 9)
-    assert engine.page("Products?$count=true&$top=0", 4).count == 9
-    assert engine.page("Products", 9, max_bytes=1).rows.count() == 1
+        assert seen == (5 if "top" in url else 7)
+    assert engine.page("Boats?$count=true&$top=0", 4).count == 7
+    assert engine.page("Boats", 7, max_bytes=1).rows.count() == 1
 
 
 def test_visibility(spark):
-    model = catalogue()
-    model.set("Products").visible = lambda df: F.col("Discontinued") == False  # noqa: E712
+    model = marina()
+    model.set("Boats").visible = lambda df: F.col("Sold") == False  # noqa: E712
     engine = Engine(spark, model)
-    assert engine.query("Products").count() == 6
-    assert engine.query("Categories?$filter=Products/$count eq 3").select("CategoryID").first()[0] == 2
+    assert engine.query("Boats").count() == 3
+    assert engine.query("Harbours?$filter=Boats/$count eq 2").select("HarbourId").first()[0] == 10
 
 
 def test_batch(spark):
-    answers = Engine(spark, catalogue()).batch(["Products/$count", "Nope"])
-    assert answers[0].first()[0] == 9 and answers[1].status == 404
+    answers = Engine(spark, marina()).batch(["Boats/$count", "Nope"])
+    assert answers[0].first()[0] == 7 and answers[1].status == 404
 
 
 def test_streamed_windows_equal_batch(spark, tmp_path):
@@ -188,8 +240,8 @@ def test_remote_collection(spark, tmp_path):
 
 
 def test_submitted_requests(spark):
-    engine = Engine(spark, catalogue())
-    job = engine.submit("Products/$count")
-    assert job.result(120)[0][0] == 9
+    engine = Engine(spark, marina())
+    job = engine.submit("Boats/$count")
+    assert job.result(120)[0][0] == 7
     with pytest.raises(QueryError):
         engine.submit("Nope").result(120)

@@ -14,7 +14,7 @@ from ravelin.errors import QueryError
 from ravelin.functions.patterns import like_to_java, to_java
 from ravelin.plans.parser import parse_apply, parse_expression, parse_options, parse_request, parse_search
 from ravelin.plans.tree import Binary, Call, Items, Literal, Path, Unary, sequence_text
-from tests.fixtures import catalogue
+from tests.fixtures import marina
 
 names = st.sampled_from(["A", "B", "Nav/C"]).map(lambda n: Path(tuple(n.split("/"))))
 leaves = names | st.integers(-9, 99).map(lambda n: Literal(n, "int")) | st.text("ab' ", max_size=4).map(lambda t: Literal(t, "string")) | st.sampled_from([Literal(None, "null"), Literal(True, "bool")])
@@ -48,17 +48,17 @@ def test_apply_round_trip():
 @pytest.mark.parametrize(
     ("url", "status"),
     [
-        ("Products?$filter=Nope eq 1", 400), ("Products?$filter=UnitPrice gt", 400), ("Products?$apply=groupby((rollup(A,B)))", 501), ("Products?$apply=nest(X)", 501), ("Products?$apply=aggregate(UnitPrice with sum from A as B)", 501),
-        ("Products?$filter=geo.distance(A,B) lt 3", 501), ("Nothing", 404), ("Products(null)", 400), ("Products?$top=-1", 400), ("Products?$filter=Suppliers eq 1", 400), ("Products?$filter=time(UnitPrice) eq 1", 501),
-        ("Products?$apply=groupby((Category))", 501), ("Products?$apply=join(Category as K)", 400), ("Products?$apply=aggregate($count as N)/join(Suppliers as S)", 501), ("Products?$apply=concat(identity,aggregate($count as N))", 501),
-        ("Products?$apply=aggregate($count as N)&$expand=Category", 400), ("Products?$filter=ProductName in (QuantityPerUnit)", 501), ("Products?$index=1", 501), ("Products?$filter=A eq 1&$filter=B eq 2", 400), ("Products?$apply=concat(identity)", 400),
-        ("Products?$filter=cast(UnitPrice,Edm.Int32) eq 1", 501), ("Categories?$filter=Products/aggregate(ProductName with sum) gt 1", 400), ("Products?$from=2024-01-01&$to=2024-01-02&$toInclusive=2024-01-03&$select=ProductID", None), ("Prices?$to=2024-01-02", 400),
+        ("Boats?$filter=Nope eq 1", 400), ("Boats?$filter=Length gt", 400), ("Boats?$apply=groupby((rollup(A,B)))", 501), ("Boats?$apply=nest(X)", 501), ("Boats?$apply=aggregate(Length with sum from A as B)", 501),
+        ("Boats?$filter=geo.distance(A,B) lt 3", 501), ("Nothing", 404), ("Boats(null)", 400), ("Boats?$top=-1", 400), ("Boats?$filter=Riggers eq 1", 400), ("Boats?$filter=time(Length) eq 1", 501),
+        ("Boats?$apply=groupby((Harbour))", 501), ("Boats?$apply=join(Harbour as K)", 400), ("Boats?$apply=aggregate($count as N)/join(Riggers as S)", 501), ("Boats?$apply=concat(identity,aggregate($count as N))", 501),
+        ("Boats?$apply=aggregate($count as N)&$expand=Harbour", 400), ("Boats?$filter=Title in (Rig)", 501), ("Boats?$index=1", 501), ("Boats?$filter=A eq 1&$filter=B eq 2", 400), ("Boats?$apply=concat(identity)", 400),
+        ("Boats?$filter=cast(Length,Edm.Int32) eq 1", 501), ("Harbours?$filter=Boats/aggregate(Title with sum) gt 1", 400), ("Boats?$from=2024-01-01&$to=2024-01-02&$toInclusive=2024-01-03&$select=Hull", None), ("Rates?$to=2024-01-02", 400),
     ],
 )
 def test_errors(spark, url, status):
-    engine = Engine(spark, catalogue())
+    engine = Engine(spark, marina())
     if status is None:
-        assert engine.query(url).count() == 9
+        assert engine.query(url).count() == 7
         return
     with pytest.raises(QueryError) as e:
         engine.query(url)
@@ -86,5 +86,5 @@ def test_builder():
 
 
 def test_explain(spark):
-    text = Engine(spark, catalogue()).explain("Products(1)/Suppliers?$filter=City eq 'x'&$orderby=City&$top=2&$select=City")
+    text = Engine(spark, marina()).explain("Boats(1)/Riggers?$filter=Country eq 'x'&$orderby=Country&$top=2&$select=Country")
     assert [line.strip().partition("(")[0] for line in text.splitlines()] == ["Project", "Slice", "Sort", "Select", "Follow", "Key", "Scan"]
