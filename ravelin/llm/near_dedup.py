@@ -9,22 +9,27 @@ fewer words, the whole sequence is the one shingle. Two documents link where
    probability 5e-6), and the low 2 bits of each of 512 minima, packed.
 2. Documents with equal sets are one *class*; only its smallest id goes on.
 3. Band buckets never emit their pairs. First a bucket's smallest member is its
-   centre, which settles most. For the members of buckets that still hold
-   several components, one aggregation over shingles counts those that no other
-   set of them has. With ``s`` shingles that others may have, two sets share
-   ``min(s_a, s_b)`` at most, which rules out nearly all pairs that are no
-   links, exactly. What is left is compared with centres of other components,
-   more of them in each round, until each bucket holds one component or every
-   member has been a centre: nothing is capped. A pair meets in the first band
-   that it shares only.
+   centre, then a member of its largest component, which settles nearly all.
+   What then shares a bucket but no component is settled at once by an exact
+   bound (``unlinked_pairs``): shingles that at most ``RARE`` of these sets have
+   are joined, so that shared ones are counted, and popular ones are bounded by
+   the smaller number of them. Nothing is capped: a pair that the bound does not
+   rule out is compared.
 4. A candidate first meets the b-bit estimate ``(match - 1/4) / (1 - 1/4)``,
-   where ``match`` counts equal 2-bit fields; below 0.65 (4.3 standard
+   where ``match`` counts equal 2-bit fields; below 0.6 (6.5 standard
    deviations under the threshold) it can't be a link. The rest is confirmed on
    the full sets, each centre's text being sent once for each block of members.
+5. Components come from minimum labels with pointer jumping, in joins.
+
+A group of near copies whose members lie just under the threshold leaves many
+pairs that no bound rules out; these are compared, at a cost that can grow
+faster than the group.
 
 Null texts and texts without words have an empty set and link with nothing.
-Equal rows are alike; ``doc_id`` should be unique otherwise. Empty tables give
-an empty result; extra columns are ignored.
+Equal rows are alike. Rows that share a doc_id but not a text are classed each
+by its own text. Rows without a doc_id have no component (null) and are not
+kept. Very long texts are one block of their own. Empty tables give an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,18 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.lake import Scratch, fits_broadcast
-from ravelin.llm.textblocks import SPACES, Rolling, ascii_lower, blocks, constants, plain, splitmix, utf8, words
+from ravelin.llm.textblocks import SPACES, ascii_lower, blocks, constants, plain, sorted_unique, splitmix, utf8, word_hashes, words
 
 WIDTH = 5
 THRESHOLD = 75
 #: Minima for the estimate; the first ``BANDS * ROWS`` of them make the band keys.
 MINIMA, BANDS, ROWS = 512, 32, 4
 BITS = 2
-LEAST_ESTIMATE = 0.65
+LEAST_ESTIMATE = 0.6
 PER_BLOCK = 200
-#: Links that one task may join; beyond it, labels travel in rounds of joins.
-IN_ONE_TASK = 500_000
-WORD_KEYS = Rolling(91)
+#: A shingle of more sets than that is popular: pairs are not made through it.
+RARE = 64
 _MIX = constants(92, WIDTH + 1)
 _A = (constants(93, MINIMA) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (constants(94, MINIMA, odd=False) >> np.uint64(32)).astype(np.uint32)
@@ -58,16 +62,15 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     buf, off = utf8(plain(column))
     buf = ascii_lower(buf)
     starts, ends, first = words(buf, off, SPACES)
-    keys = WORD_KEYS.ranges(WORD_KEYS.prefix(buf), starts, ends)
-    n = len(keys)
-    whole = np.zeros(n, np.uint64)
+    keys = word_hashes(buf, starts, ends, 91)
+    whole = np.zeros(max(0, len(keys) - WIDTH + 1), np.uint64)
     for k in range(WIDTH):
-        whole[: n - k] += keys[k:] * _MIX[k]
+        whole += keys[k : k + len(whole)] * _MIX[k]
     whole = splitmix(whole)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= WIDTH:
-            out.append(np.unique(whole[a : b - WIDTH + 1]))
+            out.append(sorted_unique(whole[a : b - WIDTH + 1]))
         elif b > a:
             parts = np.append(keys[a:b], np.uint64(b - a)) * np.append(_MIX[: b - a], _MIX[WIDTH])
             out.append(splitmix(parts.sum(dtype=np.uint64, keepdims=True)))
@@ -76,6 +79,13 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell sets apart."""
+    first = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+    second = np.array([splitmix(s ^ _MIX[0]).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return first.view(np.int64), second.view(np.int64)
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of each of the permutations over a set."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -104,14 +114,13 @@ def signatures(documents: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column("text"))
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                first = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-                second = np.array([splitmix(s ^ _MIX[0]).sum(dtype=np.uint64) for s in sets], np.uint64)
+                named = set_names(sets)
                 sketch, bands = signature_columns(np.array([minima(sets[i]) for i in full], np.uint32).reshape(len(full), MINIMA))
                 edge = np.concatenate(([0], np.cumsum(sizes > 0)))
                 lists = [pa.ListArray.from_arrays(pa.array(edge * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (sketch, bands)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), *map(pa.array, named), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(work, SIGNATURE)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, SIGNATURE)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -124,16 +133,22 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - unlike / MINIMA) - chance) / (1 - chance)
 
 
-def confirmed(candidates: DataFrame, documents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Of candidate pairs (centre, member), those that link on their full sets."""
+def sets_of(documents: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Rows of ``wanted`` (doc_id, set_a, and more) with the texts that have these sets."""
+    if fits_broadcast(n, 64):
+        wanted = F.broadcast(wanted)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+
+
+def confirmed(candidates: DataFrame, documents: DataFrame, named: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Of candidate pairs (centre, member), those that link on their full sets. ``named``: (rep, set_a)."""
     candidates = scratch.keep(candidates, f"{name}-candidates")
     n = candidates.count()
     share = candidates.groupBy("centre").agg(F.ceil(F.count("*") / PER_BLOCK).alias("blocks"))
     dealt = candidates.join(share, "centre").select("centre", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).alias("block"))
-    wanted = dealt.select("centre", "block", F.lit(1).alias("part"), F.col("member").alias("doc_id")).unionByName(dealt.select("centre", "block").distinct().select("centre", "block", F.lit(0).alias("part"), F.col("centre").alias("doc_id")))
-    if fits_broadcast(n, 64):
-        wanted = F.broadcast(wanted)
-    rows = documents.select("doc_id", "text").join(wanted, "doc_id").select("centre", "block", "part", "doc_id", "text")
+    wanted = dealt.select("centre", "block", F.lit(1).alias("part"), F.col("member").alias("rep")).unionByName(dealt.select("centre", "block").distinct().select("centre", "block", F.lit(0).alias("part"), F.col("centre").alias("rep")))
+    wanted = wanted.join(named, "rep").withColumnRenamed("rep", "doc_id")
+    rows = sets_of(documents, wanted, n).select("centre", "block", "part", "doc_id", "set_a", "text")
 
     def work(batches):
         key, own = None, None
@@ -141,17 +156,20 @@ def confirmed(candidates: DataFrame, documents: DataFrame, scratch: Scratch, nam
             for part in blocks(batch):
                 sets = shingle_sets(part.column("text"))
                 found = []
-                for c, b, kind, name, s in zip(*(part.column(k).to_pylist() for k in ("centre", "block", "part", "doc_id")), sets, strict=True):
+                for c, b, kind, name, wanted, s in zip(*(part.column(k).to_pylist() for k in ("centre", "block", "part", "doc_id", "set_a")), sets, strict=True):
+                    if s.sum(dtype=np.uint64).astype(np.int64) != wanted:
+                        continue  # another text under the same id
                     if not kind:
                         key, own = (c, b), s
                     elif key == (c, b):
-                        common = len(np.intersect1d(own, s, assume_unique=True))
+                        both = np.sort(np.concatenate((own, s)))
+                        common = int((both[1:] == both[:-1]).sum())
                         if 100 * common >= THRESHOLD * (len(own) + len(s) - common):
                             found.append((c, name))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["centre", "member"])
 
     dealt_out = rows.repartition("centre", "block").sortWithinPartitions("centre", "block", "part", "doc_id")
-    return scratch.keep(dealt_out.mapInArrow(work, "centre long, member long"), f"{name}-links")
+    return scratch.keep(dealt_out.mapInArrow(work, "centre long, member long").distinct(), f"{name}-links")
 
 
 def contracted(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -170,49 +188,60 @@ def contracted(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return state
 
 
-def joined_in_one_task(edges: DataFrame) -> DataFrame:
-    """``contracted`` by union-find in one task, for edges of a checked number."""
-
-    def work(batches):
-        parent: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = top(a), top(b)
-                parent[max(a, b)] = min(a, b)
-        nodes = list(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
-
-    return edges.coalesce(1).mapInArrow(work, "node long, root long")
-
-
-def own_shingles(crowd: DataFrame, documents: DataFrame) -> DataFrame:
-    """Of ``crowd`` (rep): how many shingles of each stand in no other set of it.
-
-    One aggregation over shingles; sets without any are left out.
-    """
+def shingles_of(crowd: DataFrame, documents: DataFrame) -> DataFrame:
+    """(rep, root, shingle) of the sets of ``crowd`` (rep, root, set_a)."""
 
     def work(batches):
         for batch in batches:
             for part in blocks(batch):
                 sets = shingle_sets(part.column("text"))
+                own = part.column("set_a").to_numpy()
+                sets = [s if s.sum(dtype=np.uint64).astype(np.int64) == w else s[:0] for s, w in zip(sets, own, strict=True)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-                names = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes), pa.int64()), pa.array(flat.view(np.int64))], ["rep", "shingle"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(c).to_numpy(), sizes), pa.int64()) for c in ("doc_id", "root")), pa.array(flat.view(np.int64))], ["rep", "root", "shingle"])
 
-    wanted = crowd.withColumnRenamed("rep", "doc_id")
-    if fits_broadcast(crowd.count(), 16):
-        wanted = F.broadcast(wanted)
-    rows = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    alone = rows.mapInArrow(work, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("sets"), F.min("rep").alias("rep")).where("sets = 1")
-    return alone.groupBy("rep").agg(F.count("*").alias("own"))
+    return sets_of(documents, crowd.withColumnRenamed("rep", "doc_id"), crowd.count()).select("doc_id", "root", "set_a", "text").mapInArrow(work, "rep long, root long, shingle long")
+
+
+def unlinked_pairs(left: DataFrame, profiles: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (centre, member) of different components within ``left`` (key, rep, root): all that can be links.
+
+    A shingle is popular if more than ``RARE`` sets of ``left`` have it. Two sets
+    share ``min(popular_a, popular_b)`` popular ones at most, and exactly as many
+    others as a join on those counts. Sets that share none of the others meet in
+    their buckets, by sizes that the popular ones allow.
+    """
+    crowd = scratch.keep(left.select("rep", "root").distinct().join(profiles.select("rep", "n", "set_a"), "rep"), "crowd")
+    rows = scratch.keep(shingles_of(crowd.select("rep", "root", "set_a"), documents), "shingles")
+    popular = scratch.keep(rows.groupBy("shingle").agg(F.count("*").alias("sets")).where(F.col("sets") > RARE).select("shingle"), "popular")
+    if fits_broadcast(popular.count(), 32):
+        popular = F.broadcast(popular)
+    others = rows.join(popular, "shingle", "left_anti")
+    counted = others.groupBy("rep").agg(F.count("*").alias("others"))
+    sized = scratch.keep(crowd.join(counted, "rep", "left").select("rep", "root", "n", (F.col("n") - F.coalesce("others", F.lit(0))).alias("popular")), "sized")
+
+    def enough(shared: Column) -> Column:
+        return 100 * shared >= THRESHOLD * (F.col("n_a") + F.col("n_b") - shared)
+
+    def side(tag: str) -> DataFrame:
+        return sized.select(F.col("rep").alias(tag), F.col("n").alias(f"n_{tag}"), F.col("popular").alias(f"popular_{tag}"))
+
+    # At most RARE sets have one of these shingles, so the lists are short whatever the group.
+    lists = others.groupBy("shingle").agg(F.collect_list(F.struct("rep", "root")).alias("all")).where(F.size("all") > 1)
+    pairs = lists.select("all", F.explode("all").alias("one")).select(F.col("one.rep").alias("a"), F.explode(F.filter("all", lambda x: (x["rep"] > F.col("one.rep")) & (x["root"] != F.col("one.root")))).alias("two"))
+    shared = pairs.groupBy("a", F.col("two.rep").alias("b")).agg(F.count("*").alias("shared"))
+    through_shingles = shared.join(side("a"), "a").join(side("b"), "b").where(enough(F.least("popular_a", "popular_b") + F.col("shared"))).select("a", "b")
+
+    # Without shared others: min(popular) >= 3/7 of both sizes together bounds the other's size from both sides.
+    most = F.floor(F.col("popular") * 7 / 3 - F.col("n"))
+    able = left.select("key", "rep").join(sized.where(100 * F.col("popular") >= THRESHOLD * F.col("n")), "rep")
+    main = able.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    step = lambda n: F.floor(F.ln(n) / 0.1)
+    minor = able.join(main, "key").where("root <> main").select("key", F.col("rep").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_a"), F.col("popular").alias("popular_a"), F.explode(F.sequence(step(F.ceil(F.col("n") * 0.75)), step(F.greatest(most, F.ceil(F.col("n") * 0.75))))).alias("step"))
+    other = able.select("key", F.col("rep").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_b"), F.col("popular").alias("popular_b"), step(F.col("n")).alias("step"))
+    in_buckets = minor.join(other, ["key", "step"]).where((F.col("root_x") != F.col("root_y")) & enough(F.least("popular_a", "popular_b"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return through_shingles.unionByName(in_buckets).distinct().select(F.col("a").alias("centre"), F.col("b").alias("member"))
 
 
 def similar_classes(documents: DataFrame) -> DataFrame:
@@ -220,72 +249,67 @@ def similar_classes(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     scratch = Scratch(spark)
     signed = scratch.keep(signatures(documents), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.keep(classes, "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
+    same = ["n_shingles", "set_a", "set_b"]
+    classes = scratch.keep(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    reps = signed.withColumnRenamed("doc_id", "rep").join(classes, [*same, "rep"], "left_semi").dropDuplicates([*same, "rep"])
+    keys = reps.select("rep", F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
     members = scratch.keep(keys.join(crowded.select("key", "least"), "key"), "members")
-    sketches = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands").join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    sketches = scratch.keep(sketches, "sketches")
-    profiles = sketches.withColumn("s", F.col("n"))  # s: shingles that another set may have
-
-    def alike(a: str, b: str) -> Column:
-        """Enough shingles that both can have, and an estimate that may be a link."""
-        both = F.least(f"s_{a}", f"s_{b}")
-        return (100 * both >= THRESHOLD * (F.col(f"n_{a}") + F.col(f"n_{b}") - both)) & (estimate(F.col(f"sketch_{a}"), F.col(f"sketch_{b}")) >= LEAST_ESTIMATE)
-
-    def named(tag: str) -> DataFrame:
-        return profiles.select(F.col("rep").alias(tag), F.col("n").alias(f"n_{tag}"), F.col("s").alias(f"s_{tag}"), F.col("sketch").alias(f"sketch_{tag}"), F.col("bands").alias(f"bands_{tag}"))
-
-    def linked(before: DataFrame | None, pairs: DataFrame, name: str) -> tuple[DataFrame | None, DataFrame | None]:
-        """All links so far, and the root of each node that has one."""
-        links = confirmed(pairs, documents, scratch, name)
-        if before is not None:
-            links = before.unionByName(links)
-        n = links.count()
-        if not n:
-            return None, None
-        edges = links.toDF("a", "b")
-        found = joined_in_one_task(edges) if n <= IN_ONE_TASK else contracted(edges, scratch, f"{name}-roots")
-        return links, scratch.keep(found, f"{name}-labels")
+    profiles = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "set_a", "set_b", "sketch").join(members.select("rep").distinct(), "rep", "left_semi")
+    profiles = scratch.keep(profiles.dropDuplicates(["rep", "n", "set_a", "set_b"]), "profiles")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of (centre, member), those whose sizes and estimate allow a link."""
+        met = pairs
+        for tag in ("centre", "member"):
+            met = met.join(profiles.select(F.col("rep").alias(tag), F.col("n").alias(f"n_{tag}"), F.col("sketch").alias(f"sketch_{tag}")), tag)
+        sizes = 100 * F.least("n_centre", "n_member") >= THRESHOLD * F.greatest("n_centre", "n_member")
+        return met.where(sizes & (estimate(F.col("sketch_centre"), F.col("sketch_member")) >= LEAST_ESTIMATE)).select("centre", "member").distinct()
+
+    def linked(roots: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame | None:
+        """The root of each node that has a link, after those among ``pairs``."""
+        links = confirmed(likely(pairs), documents, profiles.select("rep", "set_a"), scratch, name)
+        if links.isEmpty():
+            return roots
+        if roots is None:
+            return scratch.keep(contracted(links.toDF("a", "b"), scratch, f"{name}-roots"), f"{name}-labels")
+        # Earlier roots are the nodes now, so that each contraction meets new links only.
+        edges = links
+        for tag in ("centre", "member"):
+            edges = edges.join(roots.toDF(tag, f"root_{tag}"), tag, "left").withColumn(tag, F.coalesce(f"root_{tag}", tag)).drop(f"root_{tag}")
+        edges = scratch.keep(edges.where("centre <> member").toDF("a", "b"), f"{name}-contracted")
+        if edges.isEmpty():
+            return roots
+        above = scratch.keep(contracted(edges, scratch, f"{name}-roots").toDF("root", "top"), f"{name}-tops")
+        moved = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        new = above.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")
+        return scratch.keep(moved.unionByName(new), f"{name}-labels")
 
     def mixed(buckets: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
         """The members (key, rep, root) of buckets that hold several components."""
-        inside = buckets.select("key", "band", "rep").withColumn("root", F.col("rep"))
+        inside = buckets.select("key", "rep").withColumn("root", F.col("rep"))
         if roots is not None:
-            inside = buckets.select("key", "band", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("root"))
+            inside = buckets.select("key", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
         several = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         return scratch.keep(inside.join(several, "key", "left_semi"), name)
 
     # First, each member with the smallest member of its buckets: that settles most.
-    pairs = members.where("rep > least").groupBy(F.col("rep").alias("member")).agg(F.min("least").alias("centre"))
-    links, roots = linked(None, pairs.join(named("centre"), "centre").join(named("member"), "member").where(alike("centre", "member")).select("centre", "member"), "round0")
+    pairs = members.where("rep > least").groupBy(F.col("rep").alias("member")).agg(F.min("least").alias("centre")).select("centre", "member")
+    roots = linked(None, pairs, "round0")
     left = mixed(members, roots, "left0")
-    if not left.isEmpty():
-        # Then without the sets whose own shingles rule out every link within a bucket.
-        own = own_shingles(left.select("rep").distinct(), documents)
-        profiles = sketches.join(left.select("rep").distinct(), "rep", "left_semi").join(own, "rep", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-        profiles = scratch.keep(profiles, "profiles")
-        sized = left.join(profiles.select("rep", "n", "s"), "rep")
-        least_n = sized.groupBy("key").agg(F.min("n").alias("least_n"))
-        able = sized.join(least_n, "key").where(100 * F.col("s") >= THRESHOLD * (F.col("n") + F.greatest("least_n", "s") - F.col("s")))
-        left = mixed(able, roots, "left1")
-    first_shared = F.array_position(F.zip_with("bands_centre", "bands_member", lambda a, b: a == b), True) == F.col("band") + 1
-    turn, slots = 1, 8
+    turn, before = 1, None
     while not left.isEmpty():
-        # Several centres for each bucket, one for each slot; more in each round, so that rounds stay few.
-        dealt = left.withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots)))
-        centres = dealt.groupBy("key", "slot").agg(F.min_by(F.struct(F.col("rep").alias("centre"), F.col("root").alias("centre_root")), "rep").alias("c")).select("key", "c.centre", "c.centre_root")
-        rooted = scratch.keep(centres.join(named("centre"), "centre"), f"centres{turn}")
-        met = left.join(named("member").withColumnRenamed("member", "rep"), "rep").join(rooted, (left["key"] == rooted["key"]) & (F.col("root") != F.col("centre_root")) & alike("centre", "member") & first_shared)
-        links, roots = linked(links, met.select(F.least("centre", "rep").alias("centre"), F.greatest("centre", "rep").alias("member")).distinct(), f"round{turn}")
-        # A centre has met all that it could link.
-        rest = left.join(rooted.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
-        turn, slots = turn + 1, slots * 64
-        left = mixed(rest, roots, f"left{turn}")
-    own = classes.select("n_shingles", "set_a", "set_b", "rep", F.col("rep").alias("root")) if roots is None else classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = own.select("n_shingles", "set_a", "set_b", F.coalesce("root", "rep").alias("class_id"))
-    found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class, ["n_shingles", "set_a", "set_b"], "left")
-    component = F.coalesce("class_id", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        # Then with another centre, one of the bucket's largest component, as long as that settles much.
+        apart = left.select("rep", "root").distinct().agg(F.countDistinct("root")).first()[0]
+        if before is not None and apart > 0.8 * before:
+            roots = linked(roots, unlinked_pairs(left, profiles, documents, scratch), "rest")  # all that is left, at once
+            break
+        largest = left.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("centre"))
+        centres = largest.groupBy("key").agg(F.max_by(F.struct("centre", "root"), F.struct("size", "root")).alias("c")).select("key", "c.centre", F.col("c.root").alias("centre_root"))
+        pairs = left.join(centres, "key").where("root <> centre_root").groupBy(F.col("rep").alias("member")).agg(F.min("centre").alias("centre")).select("centre", "member")
+        roots = linked(roots, pairs, f"round{turn}")
+        before, turn, left = apart, turn + 1, mixed(left, roots, f"left{turn}")
+    own = classes.withColumn("class_id", F.col("rep")) if roots is None else classes.join(roots.toDF("rep", "root"), "rep", "left").withColumn("class_id", F.coalesce("root", "rep"))
+    found = signed.select("doc_id", *same).join(own.select(*same, "class_id"), same, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

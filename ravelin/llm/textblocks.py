@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 2 << 20
 _MASK = (1 << 64) - 1
@@ -35,40 +36,48 @@ def constants(seed: int, n: int, odd: bool = True) -> np.ndarray:
     return x | np.uint64(1) if odd else x
 
 
-class Rolling:
-    """Hashes of any byte range of a block from prefix sums.
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of sorted disjoint ranges: the number of each one's string among the distinct ones, and those.
 
-    ``P[i] = sum(value[b[j]] * B**j for j < i)`` modulo 2**64; the hash of
-    ``[s, e)`` is ``(P[e] - P[s]) * B**-s``, mixed with the length. Equal
-    strings have equal hashes wherever they stand, in any block.
+    Strings are told apart by their bytes, so different ones never meet.
     """
-
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, seed: int):
-        self.seed = seed
-        self.values = constants(seed, 256)
-        self.base = int(constants(seed + 1000, 1)[0]) | 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = self._powers.get(self.seed)
-        if have is None or len(have[0]) < n:
-            size = max(n, BLOCK_BYTES + 1024)
-            have = tuple(np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(size - 1, b, np.uint64)))) for b in (self.base, self.inverse))
-            if size <= 4 * BLOCK_BYTES:
-                self._powers[self.seed] = have
-        return have
-
-    def prefix(self, buf: np.ndarray) -> np.ndarray:
-        up, _ = self.powers(len(buf) + 1)
-        out = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.values[buf] * up[: len(buf)], out=out[1:])
-        return out
-
-    def ranges(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, down = self.powers(len(prefix))
-        return splitmix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    flat = buf[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    off = np.concatenate(([0], np.cumsum(ends - starts)))
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(flat)])
+    coded = column.dictionary_encode()
+    own = coded.dictionary
+    edges = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1].tolist()
+    data = own.buffers()[2].to_pybytes() if own.buffers()[2] is not None else b""
+    return coded.indices.to_numpy().astype(np.int64), [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def hashes(strings: list[bytes], seed: int) -> np.ndarray:
+    """64-bit hashes of byte strings (XXH3, which is not linear in them)."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(x, seed) for x in strings), np.uint64, len(strings))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """The hash of each range; equal strings have equal hashes wherever they stand, in any block."""
+    codes, strings = distinct(buf, starts, ends)
+    return hashes(strings, seed)[codes] if len(codes) else np.zeros(0, np.uint64)
+
+
+def gram_hashes(buf: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of the ``size`` bytes (8 at least) that begin at each place, mixed after each eight of them."""
+    n = len(buf) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    eights = np.lib.stride_tricks.as_strided(buf, (len(buf) - 7, 8), (1, 1)).copy().view("<u8").ravel()
+    out = np.full(n, constants(seed, 1)[0], np.uint64)
+    for at in [*range(0, size - 8, 8), size - 8]:
+        out = splitmix(out ^ eights[at : at + n])
+    return out
 
 
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -120,14 +129,20 @@ def ascii_lower(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def words(buf: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and for each row its first word (n + 1)."""
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by one sort (``np.unique`` hashes integers, which takes far longer here)."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def words(buf: np.ndarray, off: np.ndarray, separators: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, and for each row its first word (n + 1). ``cut``: places where a word always begins."""
     inside = ~separators[buf]
     n = len(buf)
     start, end = inside.copy(), inside.copy()
     if n:
-        start[1:] &= ~inside[:-1]
-        end[:-1] &= ~inside[1:]
+        start[1:] &= ~inside[:-1] if cut is None else ~inside[:-1] | cut[1:]
+        end[:-1] &= ~inside[1:] if cut is None else ~inside[1:] | cut[1:]
         cuts = off[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < n)]
         start[cuts] = inside[cuts]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -48,12 +49,63 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("in_one_task", [500_000, 0])
-def test_components(docs, monkeypatch, in_one_task):
-    monkeypatch.setattr(near_dedup, "IN_ONE_TASK", in_one_task)
+def classes_of(frame):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.similar_classes(frame).collect()}
+
+
+def test_components(docs):
     rows = near_copies()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.similar_classes(docs(rows, extra=True)).collect()}
-    assert got == brute_components(rows)
+    assert classes_of(docs(rows, extra=True)) == brute_components(rows)
+
+
+@pytest.mark.parametrize("rare", [2, 64])
+def test_group_around_the_threshold(docs, monkeypatch, rare):
+    """Copies with many edits: links, pairs just under the threshold, and sets that link with nothing."""
+    monkeypatch.setattr(near_dedup, "RARE", rare)
+    r = random.Random(11)
+    base, rows = text_of(77, 120).split(), []
+    for k in range(150):
+        w = list(base)
+        for _ in range(r.randrange(1, 12)):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([[], [w[at], text_of(k, 1)], [f"n{r.randrange(6)}"]])
+        rows.append((k, " ".join(w)))
+    assert classes_of(docs(rows)) == brute_components(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_few_words_in_all(docs, n):
+    rows = [(7, " ".join("abcde"[:n]))]
+    assert classes_of(docs(rows)) == brute_components(rows)
+
+
+def test_long_structured_words(docs):
+    """Words of two letters that polynomial hashes modulo a power of two take for equal."""
+    a = "a"
+    for _ in range(11):
+        a = a + a.translate(str.maketrans("ab", "ba"))
+    rows = [(k, x) for k, x in enumerate([a, a.translate(str.maketrans("ab", "ba")), a[:1024], a[1024:], "a" * 2048, "b" * 2048])]
+    assert classes_of(docs(rows)) == brute_components(rows)
+
+
+def test_repeated_and_missing_ids(docs):
+    text, other = text_of(1, 50), text_of(2, 50)
+    got = near_dedup.similar_classes(docs([(5, text), (5, text), (6, text), (7, other), (7, "own words of this text are six"), (None, text)])).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, False), (5, 5, True), (5, 5, True), (6, 5, False), (7, 7, True), (7, 7, True)]
+
+
+def test_estimate_keeps_links_at_the_threshold():
+    """Of pairs with a similarity of exactly 0.75, none is under the estimate's bound and nearly all share a band."""
+    rng = np.random.default_rng(3)
+    under = apart = 0
+    for _ in range(400):
+        x = rng.integers(0, 1 << 63, 160).astype(np.uint64)
+        sketch, bands = near_dedup.signature_columns(np.array([near_dedup.minima(x[:140]), near_dedup.minima(x[20:])]))
+        differ = np.bitwise_xor(sketch[0], sketch[1]).view(np.uint64)
+        unlike = int(np.bitwise_count((differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum())
+        under += ((1 - unlike / near_dedup.MINIMA) - 0.25) / 0.75 < near_dedup.LEAST_ESTIMATE
+        apart += not (bands[0] == bands[1]).any()
+    assert under == 0 and apart <= 1
 
 
 def test_empty_tables(docs):
@@ -108,3 +160,24 @@ def test_cut_texts(docs):
     assert 5 not in kept and set(kept) == {i for i, (n, k, _, _) in removed.items() if k < n or n == 0}
     assert all(r["n_chars"] == len(r["text"] or "") for r in kept.values())
     assert all(len((kept[i]["text"] or "").encode()) >= n - k for i, (n, k, _, _) in removed.items() if i in kept)
+
+
+def test_ids_that_repeat(docs):
+    """Rows of one id with other texts are told apart; equal rows don't cover each other, later ones are covered."""
+    line = text_of(5, 30)
+    rows = [(1, "start\n" + line), (2, line), (2, "short"), (2, "own " + text_of(6, 30)), (2, line), (3, "x " + line + " y"), (None, line)]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in substring_dedup.deduplicated(docs(rows)).collect())
+    n = len(line)
+    assert got == sorted([(0, n, 0), (1, n + 6, 0), (2, 5, 0), (2, n, n), (2, n, n), (2, len(text_of(6, 30)) + 4, 0), (3, n + 4, n)])
+    twice = substring_dedup.deduplicated(docs([(2, line), (2, line)])).collect()
+    assert [r["n_removed"] for r in twice] == [0, 0]
+
+
+def test_structured_bytes(docs):
+    """Long strings of two letters, on which polynomial hashes modulo a power of two fail."""
+    a = "a"
+    for _ in range(11):
+        a = a + a.translate(str.maketrans("ab", "ba"))
+    rows = [(0, a), (1, a[::-1]), (2, a[:300] + "c" + a[700:]), (3, "ab" * 700)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.deduplicated(docs(rows)).collect()}
+    assert got == brute_removed(rows)
