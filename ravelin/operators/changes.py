@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,29 @@ class DeltaToken:
             raise QueryError(400, "the token is of a later version")
 
 
+def tracked_read(log: DataFrame, read: Callable[[], DataFrame], version: str = "_version") -> tuple[DeltaToken, DataFrame]:
+    """A token and then the rows: taken first, so that a change in between is told again and never missed."""
+    newest = log.agg(F.max(c(version))).first()[0]
+    return DeltaToken(int(newest or 0)), read()
+
+
+def token_at(log: DataFrame, moment: Column, at: str = "_at", version: str = "_version") -> DeltaToken:
+    """The token of the state at a moment: the last version written until then."""
+    newest = log.where(c(at) <= moment).agg(F.max(c(version))).first()[0]
+    return DeltaToken(int(newest or 0))
+
+
+def delta_page(changes: DataFrame, key: list[str], size: int, after: tuple | None = None) -> tuple[DataFrame, tuple | None]:
+    """One page of a delta in key order behind a key, and the key that the next page begins behind (None: the last)."""
+    behind, same = F.lit(after is None), F.lit(True)
+    for k, v in zip(key, after or (), strict=False):
+        behind |= same & (c(k) > F.lit(v))
+        same &= c(k) == F.lit(v)
+    rows = changes.where(behind).orderBy(*[c(k) for k in key]).limit(size + 1).collect()  # one page
+    page = changes.sparkSession.createDataFrame(rows[:size], changes.schema)
+    return page, tuple(rows[size - 1][k] for k in key) if len(rows) > size else None
+
+
 def replay(base: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """``base`` with net changes applied: what a client holds after following a delta."""
     names = [x for x in base.columns if x not in key]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,14 +14,16 @@ from ravelin.operators.frame import c
 RULES = ("remote", "local", "last_writer", "fields")
 
 
-def three_way(base: DataFrame, local: DataFrame, remote: DataFrame, key: list[str], rule: str = "fields", fallback: str = "remote", stamp: str | None = None, peers: bool = False) -> DataFrame:
+def three_way(base: DataFrame, local: DataFrame, remote: DataFrame, key: list[str], rule: str = "fields", fallback: str = "remote", stamp: str | None = None, peers: bool = False, field_rules: dict[str, str] | None = None, attributes: dict[str, Callable[[Column, Column, Column], Column]] | None = None) -> DataFrame:
     """One row per object: the values after the merge and ``_outcome``.
 
     Outcomes: same, remote, local, merged, conflict (resolved by the rule) and
     deleted. ``last_writer`` compares stamps; of equal stamps the remote's row
     wins, or between peers the larger fingerprint, so that both sides agree.
     ``fields`` takes each field from the side that changed it, and falls back
-    where both did.
+    where both did: to the field's own rule of ``field_rules``, else to
+    ``fallback``. ``attributes`` merge a field of both sides' values by a
+    function of base, local and remote (``counter``, ``members``), in any rule.
     """
     if rule not in RULES or fallback not in RULES or (("last_writer" in (rule, fallback)) and stamp is None):
         raise bad(f"no such rule, or no stamp: {rule}, {fallback}")
@@ -46,7 +49,8 @@ def three_way(base: DataFrame, local: DataFrame, remote: DataFrame, key: list[st
         for n in names:
             x, y, z = mine.getField(n), theirs.getField(n), b.getField(n)
             both = ~x.eqNullSafe(z) & ~y.eqNullSafe(z) & ~x.eqNullSafe(y)
-            out.append(F.when(both, last.getField(n)).when(~x.eqNullSafe(z), x).otherwise(y).alias(n))
+            won = whole(field_rules[n]) if n in (field_rules or {}) else last
+            out.append(F.when(both, won.getField(n)).when(~x.eqNullSafe(z), x).otherwise(y).alias(n))
         if stamp is not None:
             k = names.index(stamp)
             out[k] = F.greatest(mine.getField(stamp), theirs.getField(stamp)).alias(stamp)
@@ -55,6 +59,9 @@ def three_way(base: DataFrame, local: DataFrame, remote: DataFrame, key: list[st
 
     conflict = changed_l & changed_r & ~mine.eqNullSafe(theirs)
     resolved = by_fields() if rule == "fields" else whole(rule)
+    if attributes:
+        alive = mine.isNotNull() & theirs.isNotNull()
+        resolved = F.when(alive & resolved.isNotNull(), F.struct(*[(attributes[n](b.getField(n), mine.getField(n), theirs.getField(n)) if n in attributes else resolved.getField(n)).alias(n) for n in names])).otherwise(resolved)
     value = F.when(conflict, resolved).when(changed_l, mine).otherwise(theirs)
     rows = rows.withColumn("__v", value).withColumn(
         "_outcome",
@@ -63,6 +70,19 @@ def three_way(base: DataFrame, local: DataFrame, remote: DataFrame, key: list[st
     return rows.select(*[c(k) for k in key], *[F.col("__v").getField(n).alias(n) for n in names], "_outcome")
 
 
+def counter(base: Column, mine: Column, theirs: Column) -> Column:
+    """Both sides' increments."""
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return zero(mine) + zero(theirs) - zero(base)
+
+
+def members(base: Column, mine: Column, theirs: Column) -> Column:
+    """A set: what either side added, without what either removed."""
+    have = lambda x: F.coalesce(x, F.array().cast("array<string>"))
+    gone = F.array_union(F.array_except(have(base), have(mine)), F.array_except(have(base), have(theirs)))
+    return F.array_sort(F.array_except(F.array_union(have(mine), have(theirs)), gone))
+
+
 # --- version vectors: map<string,long> ---
 
 

@@ -97,11 +97,23 @@ def check_references(rows: DataFrame, column: str, target: DataFrame, target_key
         raise bad(f"{column} refers to what does not exist")
 
 
-def deep_insert(parents: DataFrame, children: DataFrame, new_parent: DataFrame, new_children: DataFrame, key: str, child_key: str, foreign: str) -> tuple[DataFrame, DataFrame]:
-    """A parent with its children: both versions, the children bound to the parent's (perhaps generated) key."""
-    keyed = generated_keys(parents, new_parent, key)
-    bound = new_children.drop(foreign).crossJoin(F.broadcast(keyed.select(c(key).alias(foreign))))  # one parent
-    return insert(parents, keyed, (key,)), insert(children, bound, (child_key,))
+def deep_insert(parents: DataFrame, children: DataFrame, new_parents: DataFrame, new_children: DataFrame, key: str, child_key: str, foreign: str, tag: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parents with their children: both versions, the children bound to their parent's (perhaps generated) key.
+
+    ``tag`` names a column that tells which new parent a new child belongs to;
+    without it there must be one parent. Children that no parent has fail, and a
+    child that names a ``foreign`` key of its own is bound to that (``@odata.bind``).
+    """
+    if tag is None:
+        if new_parents.limit(2).count() != 1:
+            raise bad("children of several parents need a tag")
+        new_parents, new_children, tag = new_parents.withColumn("__tag", F.lit(0)), new_children.withColumn("__tag", F.lit(0)), "__tag"
+    keyed = generated_keys(parents, new_parents, key)
+    if not new_children.join(keyed, tag, "left_anti").isEmpty():
+        raise bad("a child without its parent")
+    own = c(foreign) if foreign in new_children.columns else F.lit(None)
+    bound = new_children.withColumn("__own", own).drop(foreign).join(keyed.select(tag, c(key).alias("__key")), tag).withColumn(foreign, F.coalesce("__own", "__key")).drop(tag, "__own", "__key")
+    return insert(parents, keyed.drop(tag), (key,)), insert(children, bound, (child_key,))
 
 
 def etag(columns: Sequence[str]) -> Column:

@@ -427,3 +427,6 @@ def _(e: Engine) -> DataFrame:
 def _(e: Engine) -> DataFrame:
     first = e.page("Orders?$filter=Totalprice gt 100000&$select=Orderkey", 10)
     return first.rows.unionByName(e.page(first.next_link or "", 10).rows)
+
+
+from ravelin import queries_edge  # noqa: E402, F401  registers more

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -87,6 +88,19 @@ class EntitySet:
         return self.subtypes[short]
 
 
+class Overloads:
+    """An operation with several parameter lists: the one that has exactly the names (and types) given is called."""
+
+    def __init__(self, *options: tuple[dict[str, type], Callable]):
+        self.options = options
+
+    def __call__(self, *bound, **named):
+        for parameters, f in self.options:
+            if set(parameters) == set(named) and all(v is None or isinstance(v, kind) or (kind is float and isinstance(v, int | Decimal)) for (k, kind) in parameters.items() for v in (named[k],)):
+                return f(*bound, **named)
+        raise bad(f"no overload with the parameters {', '.join(sorted(named)) or 'none'} of these types")
+
+
 @dataclass
 class EntityModel:
     sets: dict[str, EntitySet] = field(default_factory=dict)
