@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.errors import bad
+from ravelin.errors import bad, unsupported
 from ravelin.operators.frame import Frame, c, fresh
+from ravelin.operators.hierarchy import _cut
 from ravelin.operators.search import matches
 from ravelin.operators.temporal import in_time
 from ravelin.plans.tree import Expansion, Options, Path
@@ -35,21 +36,74 @@ def expand(frame: Frame, items: tuple[Expansion, ...], depth: int = 1) -> Frame:
 
 
 def levels(options: Options) -> Options:
-    """``$levels=n`` as the same expansion n - 1 times inside; ``max`` is bounded."""
+    """``$levels=n``; ``max`` is bounded."""
     if options.levels is None:
         return options
     n = MOST_LEVELS if options.levels == "max" else int(options.levels)
     return Options(**(options.__dict__ | {"levels": n}))
 
 
+def leveled(frame: Frame, nav: Nav, options: Options, cast: str | None, whole: bool, depth: int) -> None:
+    """``$levels``: the same expansion inside itself. An object that its own path holds is shown, but not expanded again.
+
+    Paths grow by one join for each level, from the owners down; with ``whole``
+    (``max``) until no path goes on, so the result is as deep as the data. Then
+    levels are gathered from the deepest up.
+    """
+    most = int(options.levels or 1)
+    options = Options(**(options.__dict__ | {"levels": None}))
+    member, remote = frame.members(nav, None)
+    member = expand(prepared(member, options), options.expand, depth + 1)
+    only, order, keys = shown(member, options), ordering(member, options), member.keys()
+    name = lambda names: F.to_json(F.struct(*[c(k).alias(k) for k in names]))
+    local = [a for a, _ in nav.on]
+    rows = member.df.withColumn("__place", F.row_number().over(Window.partitionBy(*[c(r) for r in remote]).orderBy(*order)))
+    if options.skip:
+        rows = rows.where(F.col("__place") > options.skip)
+    if options.top is not None:
+        rows = rows.where(F.col("__place") <= options.top + (options.skip or 0))
+    rows = rows.select(*[c(r).alias(f"__r{k}") for k, r in enumerate(remote)], name(keys).alias("__me"), "__place", F.struct(*[c(n).alias(n) for n in only]).alias("__row"), *[c(a).alias(f"__next{k}") for k, a in enumerate(local)])
+    own = F.array(name(frame.set.key))  # type: ignore[union-attr]
+    start = frame.df if cast is None else frame.df.where(frame._is_type("", cast))
+    frontier, found = start.select(own.alias("__path"), *[c(a).alias(f"__l{k}") for k, a in enumerate(local)]), []
+    for _ in range(most):
+        met = frontier
+        for k in range(len(local)):
+            met = met.withColumnRenamed(f"__l{k}", f"__at{k}")
+        condition = F.lit(True)
+        for k in range(len(local)):
+            condition &= F.col(f"__at{k}") == F.col(f"__r{k}")
+        met = met.join(rows, condition).withColumn("__again", F.array_contains("__path", F.col("__me")))
+        if whole:
+            met = _cut(met)
+            if found and met.isEmpty():
+                break
+        found.append(met)
+        frontier = met.where("not __again").select(F.concat("__path", F.array("__me")).alias("__path"), *[F.col(f"__next{k}").alias(f"__l{k}") for k in range(len(local))])
+    below: DataFrame | None = None
+    for met in reversed(found):
+        fields = [F.col("__row").getField(n).alias(n) for n in only]
+        if below is not None:
+            met = met.join(below, F.concat("__path", F.array("__me")) == F.col("__of"), "left")
+            value = F.col("__value")
+            if nav.many:
+                value = F.coalesce(value, F.array().cast(below.schema["__value"].dataType))
+            fields.append(F.when(~F.col("__again"), value).alias(nav.name))
+        entry = F.struct(F.col("__place").alias("place"), F.struct(*fields).alias("row"))
+        gathered = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["row"]) if nav.many else F.first(F.struct(*fields))
+        below = met.groupBy(F.col("__path").alias("__of")).agg(gathered.alias("__value"))
+    assert below is not None
+    empty = F.array().cast(below.schema["__value"].dataType) if nav.many else F.lit(None)
+    frame.df = frame.df.join(below, own == F.col("__of"), "left").withColumn(nav.name, F.coalesce("__value", empty) if nav.many else F.col("__value")).drop("__of", "__value")
+    if nav.name not in frame.shape:
+        frame.shape.append(nav.name)
+        frame.expansions.append(nav.name)
+
+
 def inner(nav: Nav, frame: Frame, options: Options, depth: int) -> tuple[Frame, list[str], DataFrame | None]:
     """Members of a navigation with nested options, before paging; and counts for each owner."""
     member, remote = frame.members(nav, None)
     member = prepared(member, options)
-    if options.levels is not None and int(options.levels) > 1:
-        again = Expansion(nav.name, Options(**(options.__dict__ | {"levels": int(options.levels) - 1})))
-        if member.set is not None and member.set.nav(nav.name):
-            member = expand(member, (again,), 1)
     member = expand(member, options.expand, depth + 1)
     counts = member.df.groupBy(*[c(r) for r in remote]).agg(F.count("*").alias("__n")) if options.count else None
     return member, remote, counts
@@ -121,6 +175,12 @@ def selected(frame: Frame, names: tuple[str, ...]) -> list[str]:
 def one(frame: Frame, nav: Nav, item: Expansion, cast: str | None, depth: int) -> None:
     """Adds the column ``nav.name`` (and ``nav@count``) to the frame."""
     options = levels(item.options)
+    target = frame.ctx.model.set(nav.target)
+    if options.levels is not None and int(options.levels) > 1 and not item.suffix and target.nav(nav.name) and frame.set is not None and target.name == frame.set.name:
+        if options.count:
+            raise unsupported("$count with $levels")
+        leveled(frame, nav, options, cast, item.options.levels == "max", depth)
+        return
     member, remote, counts = inner(nav, frame, options, depth)
     only = list(member.set.key) if item.suffix == "$ref" and member.set is not None else shown(member, options)
     keys = [fresh("key") for _ in remote]

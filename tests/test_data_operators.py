@@ -101,6 +101,26 @@ def test_top_slices(spark):
         assert [r["id"] for r in ranked.orderBy(at).collect()] == [i for _, i in sorted((v, i) for v, i in order)]
 
 
+def test_levels_end_at_the_object_itself(spark):
+    """A cycle 1 -> 2 -> 3 -> 1 and a tail 4: each is shown inside its own path, but not expanded again."""
+    from ravelin.sources.model import EntityModel, EntitySet, Nav
+
+    model = EntityModel()
+    model.add(EntitySet("Rings", "Ring", ("Id",), lambda s: s.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 2)], "Id int, Up int"), (Nav("Next", "Rings", (("Id", "Up"),), True), Nav("Prior", "Rings", (("Up", "Id"),)))))
+    engine = Engine(spark, model)
+
+    def tree(row, nav):
+        below = row[nav] if nav in row and row[nav] is not None else None
+        return (row["Id"], None if below is None else [tree(x, nav) for x in below] if isinstance(below, list) else tree(below, nav))
+
+    deep = {r["Id"]: tree(r.asDict(True), "Next") for r in engine.query("Rings?$expand=Next($levels=max;$select=Id)&$select=Id").collect()}
+    assert deep[1] == (1, [(2, [(3, [(1, None)]), (4, [])])]) and deep[4] == (4, [])
+    two = {r["Id"]: tree(r.asDict(True), "Next") for r in engine.query("Rings?$expand=Next($levels=2;$orderby=Id desc;$select=Id)&$select=Id").collect()}
+    assert two[1] == (1, [(2, [(4, None), (3, None)])]) and two[4] == (4, [])
+    up = {r["Id"]: tree(r.asDict(True), "Prior") for r in engine.query("Rings?$expand=Prior($levels=max;$select=Id)&$select=Id").collect()}
+    assert up[4] == (4, (2, (1, (3, (2, None))))) and up[1] == (1, (3, (2, (1, None))))
+
+
 def test_write_checks(spark):
     a = spark.createDataFrame([(1, "x", 10), (2, "y", None)], "id int, v string, n int")
     with pytest.raises(QueryError) as e:
