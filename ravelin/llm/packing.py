@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.lake import Scratch
-from ravelin.llm.textblocks import SPACES, Rolling, ascii_lower, blocks, plain, spread, table_of, utf8, words
+from ravelin.llm.textblocks import SPACES, ascii_lower, blocks, distinct, plain, spread, table_of, utf8, words
 
 CAPACITY = 2048
 END_ID = 0
-WORD_KEYS = Rolling(71)
-CACHE_WORDS = 400_000
+#: Remembered units of one worker (some 50 MB); when full, memory starts anew.
+CACHE_WORDS = 300_000
+#: A token of the vocabulary that stands between units which are encoded together.
+BETWEEN = "<|endoftext|>"
+TOGETHER = 1000
 PER_BUCKET = 4000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _loaded: dict[int, WordCoder] = {}
@@ -57,49 +60,54 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.rows: dict[bytes, int] = {}
         self.starts = np.zeros(1024, np.int64)
         self.counts = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def learn(self, keys: list[int], texts: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.array([len(c) for c in coded], np.int64)
-        need = self.used + int(counts.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(need, np.uint32)))
-        at = len(self.rows)
-        while at + len(keys) > len(self.starts):
-            self.starts, self.counts = np.concatenate((self.starts, self.starts)), np.concatenate((self.counts, self.counts))
-        self.flat[self.used : need] = np.fromiter((i for c in coded for i in c), np.uint32, need - self.used)
-        self.starts[at : at + len(keys)] = self.used + np.cumsum(counts) - counts
-        self.counts[at : at + len(keys)] = counts
-        self.rows.update(zip(keys, range(at, at + len(keys)), strict=True))
-        self.used = need
+    def coded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of units and how many each has. Many are encoded as one text, with a special token between them."""
+        if self.between is None or any("<|" in u for u in units):
+            each = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            return np.concatenate(each) if each else np.zeros(0, np.int64), np.array([len(x) for x in each], np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([BETWEEN.join(units)], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.flatnonzero(ids == self.between)
+        return np.delete(ids, cuts), np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+
+    def learn(self, units: list[bytes]) -> None:
+        for k in range(0, len(units), TOGETHER):
+            some = units[k : k + TOGETHER]
+            ids, counts = self.coded([u.decode("utf-8", "replace") for u in some])
+            need, at = self.used + len(ids), len(self.rows)
+            if need > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros(max(need, len(self.flat)), np.uint32)))
+            while at + len(some) > len(self.starts):
+                self.starts, self.counts = np.concatenate((self.starts, self.starts)), np.concatenate((self.counts, self.counts))
+            self.flat[self.used : need] = ids
+            self.starts[at : at + len(some)] = self.used + np.cumsum(counts) - counts
+            self.counts[at : at + len(some)] = counts
+            self.rows.update(zip(some, range(at, at + len(some)), strict=True))
+            self.used = need
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all rows, and the first of each row (n + 1)."""
         buf, off = utf8(plain(column))
         if b"<|" not in buf.tobytes():  # else a special token could come of its capitals
             buf = ascii_lower(buf)
-        starts, ends, _ = words(buf, off, SPACES)
-        cuts = np.flatnonzero(LETTERS[buf[:-1]] & OPENERS[buf[1:]]) + 1
-        starts, ends = np.union1d(starts, cuts), np.union1d(ends, cuts)
-        first = np.searchsorted(starts, off)
-        keys, at, back = np.unique(WORD_KEYS.ranges(WORD_KEYS.prefix(buf), starts, ends), return_index=True, return_inverse=True)
-        if len(self.rows) + len(keys) > CACHE_WORDS:
+        cut = np.zeros(len(buf), bool)
+        cut[1:] = LETTERS[buf[:-1]] & OPENERS[buf[1:]]
+        starts, ends, first = words(buf, off, SPACES, cut)
+        back, units = distinct(buf, starts, ends)
+        if len(self.rows) + len(units) > CACHE_WORDS:
             self.clear()
-        listed = keys.tolist()
-        new = [i for i, k in enumerate(listed) if k not in self.rows]
-        data = buf.tobytes()
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            self.learn([listed[i] for i in some], [data[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in some])
-        rows = np.array([self.rows[k] for k in listed], np.int64)[back]
+        known = self.rows
+        self.learn([u for u in units if u not in known])
+        rows = np.array([known[u] for u in units], np.int64)[back] if units else back
         counts = self.counts[rows]
         total = np.concatenate(([0], np.cumsum(counts)))
         return self.flat[spread(self.starts[rows], counts)], total[first]
