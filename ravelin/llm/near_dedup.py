@@ -98,7 +98,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 def signature_columns(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed low bits (documents by words) and band keys of minima (documents by permutations)."""
     mixed = splitmix(best.astype(np.uint64))
-    bits = (mixed & np.uint64((1 << BITS) - 1)).reshape(len(best), -1, 64 // BITS)
+    bits = (mixed & np.uint64((1 << BITS) - 1)).reshape(len(best), MINIMA * BITS // 64, 64 // BITS)
     sketch = (bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
     grouped = mixed[:, : BANDS * ROWS].reshape(len(best), BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)

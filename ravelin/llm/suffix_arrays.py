@@ -2,21 +2,19 @@
 
 ``suffix_array`` follows the induced-sorting scheme: suffixes are classified as
 smaller or larger than their right neighbour, leftmost-smaller (LMS) substrings
-are sorted by a first induction and named, the string of names is sorted
-recursively, and a second induction derives all suffixes from the LMS ones.
-An induction step takes a whole run of a bucket at once: its predecessors are
-dealt to their buckets by one stable counting sort, so Python runs once for each
-bucket and wave, not for each suffix. Where a recursion's alphabet of names is
-too large for a loop over buckets to pay, the names' string is sorted by rank
-doubling, which gives the same order.
+are sorted by packed keys and named, the string of names is sorted recursively by
+the same scheme, and an induction derives all suffixes from the LMS ones.
+An induction step takes a run of buckets at once: all up to the first one that
+the run itself would still add to. Their predecessors are dealt to their buckets
+by one stable sort, so Python runs once for each such run, not for each suffix.
+A bucket that adds to itself is taken in waves. Small alphabets have runs of one
+bucket; the many names of a recursion have runs of about the root of their number.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LARGEST_ALPHABET = 2048
-
 
 def smaller_types(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one. The last symbol is the one smallest."""
@@ -28,104 +26,166 @@ def smaller_types(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dealt(chars: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by symbol, each one's rank within its symbol, and counts."""
-    order = np.argsort(chars, kind="stable")
-    counts = np.bincount(chars, minlength=alphabet)
-    rank = np.arange(len(chars)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return order, rank, counts
+def _dealt(chars: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stable order by symbol, each one's rank within its symbol, the symbols and their counts."""
+    order = np.argsort(chars.astype(np.uint16) if small else chars, kind="stable")
+    chars = chars[order]
+    cut = np.flatnonzero(np.concatenate(([True], chars[1:] != chars[:-1])))
+    counts = np.diff(np.append(cut, len(chars)))
+    return order, np.arange(len(chars)) - np.repeat(cut, counts), chars[cut], counts
+
+
+def _ranges(first: np.ndarray, last: np.ndarray, down: bool = False) -> np.ndarray:
+    """Indices of ranges [first, last), one after the other; ``down``: each from its end."""
+    sizes = last - first
+    before = np.cumsum(sizes) - sizes
+    step = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
+    return np.repeat(last - 1, sizes) - step if down else np.repeat(first, sizes) + step
 
 
 def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -> np.ndarray:
     """All suffixes, in the order that the given order of LMS suffixes implies."""
-    n = len(s)
+    n, small = len(s), alphabet < 1 << 16  # sixteen bits are sorted by radix
     sizes = np.bincount(s, minlength=alphabet)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     sa = np.full(n, -1, np.int64)
-    order, rank, counts = _dealt(s[lms], alphabet)
-    sorted_lms, first = lms[order], s[lms][order]
-    lms_from = ends - counts
-    sa[lms_from[first] + rank] = sorted_lms
-    head, present = starts.copy(), np.flatnonzero(sizes)
+    order, rank, symbols, counts = _dealt(s[lms], small)
+    lms_from = ends.copy()
+    lms_from[symbols] -= counts
+    sa[lms_from[s[lms][order]] + rank] = lms[order]
+    present = np.flatnonzero(sizes)
+    place = np.zeros(alphabet, np.int64)  # of a symbol among those present
+    place[present] = np.arange(len(present))
+    head = starts.copy()
 
     def forward(wave: np.ndarray) -> None:
-        p = wave[wave > 0] - 1
-        p = p[~smaller[p]]
-        if len(p):
-            order, rank, counts = _dealt(chars := s[p], alphabet)
-            chars = chars[order]
-            sa[head[chars] + rank] = p[order]
-            head[:] += counts
+        """Deal the predecessors of larger type that suffixes in order induce."""
+        order, rank, symbols, counts = _dealt(chars := s[wave], small)
+        sa[head[chars[order]] + rank] = wave[order]
+        head[symbols] += counts
 
-    for c in present:
-        done = starts[c]
+    def larger(wave: np.ndarray) -> np.ndarray:
+        p = wave[wave > 0] - 1
+        return p[~smaller[p]]
+
+    at, run = 0, 1
+    while at < len(present):
+        some = present[at : at + run]
+        # Of each bucket: larger suffixes so far, then LMS ones.
+        inner = np.stack((starts[some], lms_from[some]), axis=1).ravel()
+        outer = np.stack((head[some], ends[some]), axis=1).ravel()
+        found = sa[_ranges(inner, outer)]
+        p = larger(found)
+        reach = int(place[s[p]].min()) if len(p) else len(present)
+        if reach > at:  # buckets before ``reach`` are complete
+            upto = min(reach, at + len(some))
+            if upto < at + len(some):
+                p = larger(sa[_ranges(inner[: 2 * (upto - at)], outer[: 2 * (upto - at)])])
+            if len(p):
+                forward(p)
+            run = min(2 * run, len(present)) if upto == at + run else max(1, upto - at)
+            at = upto
+            continue
+        c, done = present[at], starts[present[at]]
         while done < head[c]:
-            upto = head[c]
-            forward(sa[done:upto])
-            done = upto
-        if counts[c]:
-            forward(sa[lms_from[c] : ends[c]])
-    larger_to = head.copy()
+            to = head[c]
+            p = larger(sa[done:to])
+            if len(p):
+                forward(p)
+            done = to
+        p = larger(sa[lms_from[c] : ends[c]])
+        if len(p):
+            forward(p)
+        at += 1
+    larger_to = head
     tail = ends.copy()
 
     def backward(wave: np.ndarray) -> None:
+        order, rank, symbols, counts = _dealt(chars := s[wave], small)
+        sa[tail[chars[order]] - 1 - rank] = wave[order]
+        tail[symbols] -= counts
+
+    def lesser(wave: np.ndarray) -> np.ndarray:
         p = wave[wave > 0] - 1
-        p = p[smaller[p]]
-        if len(p):
-            order, rank, counts = _dealt(chars := s[p], alphabet)
-            chars = chars[order]
-            sa[tail[chars] - 1 - rank] = p[order]
-            tail[:] -= counts
+        return p[smaller[p]]
 
     tail[s[-1]] -= 1  # the last symbol's own suffix stays first of all
     sa[0] = n - 1
-    for c in present[::-1]:
-        done = ends[c]
+    at, run = len(present) - 1, 1
+    while at >= 0:
+        some = present[max(0, at - run + 1) : at + 1][::-1]
+        # From the end: smaller suffixes so far, then larger ones.
+        inner = np.stack((tail[some], starts[some]), axis=1).ravel()
+        outer = np.stack((ends[some], larger_to[some]), axis=1).ravel()
+        p = lesser(sa[_ranges(inner, outer, down=True)])
+        reach = int(place[s[p]].max()) if len(p) else -1
+        if reach < at:
+            downto = max(reach, at - len(some))
+            if downto > at - len(some):
+                k = 2 * (at - downto)
+                p = lesser(sa[_ranges(inner[:k], outer[:k], down=True)])
+            if len(p):
+                backward(p)
+            run = min(2 * run, len(present)) if downto == at - run else max(1, at - downto)
+            at = downto
+            continue
+        c, done = present[at], ends[present[at]]
         while tail[c] < done:
-            downto = tail[c]
-            backward(sa[downto:done][::-1])
-            done = downto
-        if larger_to[c] > starts[c]:
-            backward(sa[starts[c] : larger_to[c]][::-1])
+            to = tail[c]
+            p = lesser(sa[to:done][::-1])
+            if len(p):
+                backward(p)
+            done = to
+        p = lesser(sa[starts[c] : larger_to[c]][::-1])
+        if len(p):
+            backward(p)
+        at -= 1
     return sa
 
 
-def _named(s: np.ndarray, lms: np.ndarray, in_order: np.ndarray) -> tuple[np.ndarray, int]:
-    """Names of LMS substrings in text order, and how many there are."""
-    size = np.zeros(len(s), np.int64)
-    size[lms[:-1]] = np.diff(lms) + 1
-    size[lms[-1]] = 1
-    a, b = in_order[:-1], in_order[1:]
-    same = np.flatnonzero((size[a] == size[b]) & (s[a] == s[b]))
-    at = 1
-    new = np.ones(len(in_order), bool)
-    while len(same):
-        over = size[a[same]] <= at
-        new[same[over] + 1] = False
-        same = same[~over]
-        same = same[s[a[same] + at] == s[b[same] + at]]
-        at += 1
-    names = np.zeros(len(s), np.int64)
-    names[in_order] = np.cumsum(new) - 1
-    return names[lms], int(new.sum())
-
+def _named(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """LMS substrings in order, their names in text order, and how many names there are.
 
-def doubled(r: np.ndarray) -> np.ndarray:
-    """Suffix array by rank doubling."""
-    n, step = len(r), 1
-    rank = np.unique(r, return_inverse=True)[1].astype(np.int64)
+    A substring is its symbols with their types, up to the next LMS place. As many
+    as fit are packed into one key; those that tie and go on get the next key.
+    """
+    typed = 2 * s + smaller + 1  # 0 stands behind a substring's end
+    bits = max(1, int(2 * alphabet + 1).bit_length())
+    per_key = max(1, 63 // bits)
+    size = np.ones(len(lms), np.int64)
+    size[:-1] = np.diff(lms) + 1
+    typed = np.append(typed, np.zeros(per_key, np.int64))
+
+    def keys(rows: np.ndarray, at: int) -> np.ndarray:
+        out = np.zeros(len(rows), np.int64)
+        for k in range(at, at + per_key):
+            out = (out << bits) | np.where(size[rows] > k, typed[np.minimum(lms[rows] + k, len(typed) - 1)], 0)
+        return out
+
+    rows, at = np.arange(len(lms)), 0
+    key = keys(rows, 0)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
     while True:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        changed = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = changed
-        if changed[-1] == n - 1 or step >= n:
-            return order
-        step *= 2
+        at += per_key
+        group = np.cumsum(new) - 1
+        goes_on = size[order] > at  # equal so far, so all of a group go on or none
+        open_rows = np.flatnonzero(goes_on & (np.bincount(group)[group] > 1))
+        if not len(open_rows):
+            break
+        which = order[open_rows]
+        key = keys(which, at)
+        turn = np.lexsort((key, group[open_rows]))
+        order[open_rows] = which[turn]
+        key, own = key[turn], group[open_rows]
+        changed = np.zeros(len(open_rows), bool)
+        changed[1:] = (own[1:] == own[:-1]) & (key[1:] != key[:-1])
+        new[open_rows] |= changed
+    names = np.empty(len(lms), np.int64)
+    names[order] = np.cumsum(new) - 1
+    return lms[order], names, int(new.sum())
 
 
 def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
@@ -134,14 +194,9 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
         return np.arange(len(s))[::-1].copy()
     smaller = smaller_types(s)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    first = induce(s, smaller, lms, alphabet)
-    is_lms = np.zeros(len(s), bool)
-    is_lms[lms] = True
-    in_order = first[is_lms[first]]
-    names, n = _named(s, lms, in_order)
+    in_order, names, n = _named(s, smaller, lms, alphabet)
     if n < len(lms):
-        below = suffix_array(names, n) if n <= LARGEST_ALPHABET else doubled(names)
-        in_order = lms[below]
+        in_order = lms[suffix_array(names, n)]
     return induce(s, smaller, in_order, alphabet)
 
 

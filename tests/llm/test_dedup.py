@@ -73,7 +73,7 @@ def test_group_around_the_threshold(docs, monkeypatch, rare):
     assert classes_of(docs(rows)) == brute_components(rows)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5])
 def test_few_words_in_all(docs, n):
     rows = [(7, " ".join("abcde"[:n]))]
     assert classes_of(docs(rows)) == brute_components(rows)
