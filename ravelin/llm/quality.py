@@ -13,11 +13,13 @@ integer, so counts are exact and joins are on integers.
 3. Every text's per-byte log-perplexity is computed on these tables: in the
    workers where the tables pass a size check, and otherwise by joining the
    texts' distinct n-grams with the tables, shard by shard; the results agree.
-4. A language's threshold is a quantile of its trusted texts' log-perplexities
-   (from a histogram in steps of ``STEP``); a language without trusted text gets
+4. A language's threshold is a quantile of the log-perplexities of those of its
+   trusted texts that were held out of the counts (one in ``HELD_OUT``, by a hash
+   of the id; from a histogram in steps of ``STEP``); a language without any gets
    the quantile of all. Texts at most at the threshold are kept.
 
-Null and empty texts have no perplexity (null) and are not kept. A null language
+Null and empty texts have no perplexity (null) and are not kept; rows without a
+doc_id are scored and trusted by none; very long texts are a block of their own. A null language
 is a language of its own. Without trusted text nothing is known: perplexities
 and thresholds are null and every text with content is kept. Repeated rows are
 scored each; extra columns are ignored; an empty table gives an empty result.
@@ -36,8 +38,9 @@ from ravelin.llm.lake import Scratch, fits_broadcast
 from ravelin.llm.textblocks import blocks, plain, row_sums, utf8
 
 ORDER = 5
-QUANTILE = 0.999
+QUANTILE = 0.995
 STEP = 0.001
+HELD_OUT = 10
 _FOLD = np.array([48 if 48 <= c <= 57 else c for c in range(256)], np.uint8)
 
 
@@ -209,9 +212,9 @@ def score_in_workers(documents: DataFrame, model: KneserNey) -> DataFrame:
                 keys, first = packed(part.column("text"))
                 n = np.diff(first)
                 mean = -row_sums(m.log_probability(keys), first) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), pa.array(n), pa.array(np.where(n > 0, np.round(mean, 6), np.nan), from_pandas=True)], ["doc_id", "lang", "n_bytes", "log_perplexity"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(n), pa.array(np.where(n > 0, np.round(mean, 6), np.nan), from_pandas=True)], ["doc_id", "lang", "n_bytes", "log_perplexity"])
 
-    return documents.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(work, "doc_id long, lang string, n_bytes long, log_perplexity double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(work, "doc_id long, lang string, n_bytes long, log_perplexity double")
 
 
 def score_by_joins(documents: DataFrame, found: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -263,14 +266,21 @@ def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = QUANT
     ids = trusted_ids.select("doc_id").distinct()
     if fits_broadcast(ids.count(), 16):  # else the texts are exchanged by id
         ids = F.broadcast(ids)
-    found = tables(documents.select("doc_id", "text").join(ids, "doc_id", "left_semi"), scratch)
+    # One trusted text in HELD_OUT is not counted, so that thresholds come from texts that the model has not seen.
+    unseen = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    if texts.where(unseen & (F.octet_length("text") > 0)).isEmpty() or texts.where(~unseen & (F.octet_length("text") > 0)).isEmpty():
+        unseen = F.lit(True)  # too few of them: all are counted, and all give the thresholds
+        found = tables(texts, scratch)
+    else:
+        found = tables(texts.where(~unseen), scratch)
     n = sum(p.count() + w.count() for p, w in found.values())
     if fits_broadcast(n, 16, in_workers_bytes):
         scored = score_in_workers(documents, gathered(found))
     else:
         scored = score_by_joins(documents, found)
     scored = scratch.keep(scored if n else scored.withColumn("log_perplexity", F.lit(None).cast("double")), "scored")
-    limits = scratch.keep(thresholds(scored.join(ids, "doc_id", "left_semi"), quantile), "thresholds")
+    limits = scratch.keep(thresholds(scored.join(ids, "doc_id", "left_semi").where(unseen), quantile), "thresholds")
     every = limits.where("any").select(F.col("threshold").alias("overall"))
     own = limits.where("not any").select(F.col("lang").alias("l"), F.col("threshold").alias("of_lang"))
     limited = scored.join(own, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
