@@ -6,7 +6,8 @@ punctuation. Windows of ``WINDOW`` template tokens of benchmark items are
 hash-joined with those of documents. A title-case word is a name by three
 readings of a text: within sentences only, at the opening of sentences and lines
 too, and nowhere (case-folded, so that copies in other case match); windows are
-keyed by each reading that differs. Windows with fewer than ``SHORTEST`` literal
+keyed by each reading that differs. A name has a capital letter first and
+letters only (``Ann``, ``McDonald``, ``O'Brien``, ``ANN``). Windows with fewer than ``SHORTEST`` literal
 tokens are keyed on their exact values: only equal text matches them. Matching
 windows of one alignment must fill their slots consistently: an item's value
 that returns must return as the same value in the document, and different
@@ -21,8 +22,10 @@ item_id): windows, matched, coverage, reparameterised.
 
 Only windows that some item has leave the workers. The item side is broadcast
 behind a check of its size and otherwise exchanged. Items shorter than a window
-are one window of their own length. Null or empty texts match nothing; repeated rows count once; an empty table
-on either side gives no rows; extra columns are ignored.
+are one window of their own length. Several texts under one item_id are
+variants: the best covered one counts. Null or empty texts match nothing, nor do
+rows without an id; repeated rows count once; very long texts are a block of
+their own; an empty table on either side gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.lake import Scratch, fits_broadcast
-from ravelin.llm.textblocks import SPACES, Rolling, blocks, constants, plain, splitmix, utf8, words
+from ravelin.llm.textblocks import SPACES, blocks, constants, distinct, plain, splitmix, utf8, words
 
 WINDOW = 8
 SHORTEST = 4
@@ -46,7 +49,6 @@ CACHE_WORDS = 400_000
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons ml cl l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent $ dollar dollars cent cents € euro euros £ °c °f degree degrees mph kph km/h m/s hz khz mhz ghz kb mb gb tb w kw mw j kj cal kcal v".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?(?:%|st|nd|rd|th|[a-z]{1,3})?")
 NUM, UNIT, NAME = 1, 2, 3
-WORD_KEYS = Rolling(31)
 _MIX = constants(32, WINDOW + 1)
 _HOLES = constants(33, 4)
 _EXACT = constants(34, 1)[0]
@@ -54,7 +56,7 @@ _EXACT = constants(34, 1)[0]
 WITHIN, OPENINGS, NOWHERE = 1, 2, 4
 #: Readings of an item and of a document whose windows may meet.
 MEETINGS = ((WITHIN, WITHIN), (OPENINGS, OPENINGS), (NOWHERE, NOWHERE), (WITHIN, OPENINGS), (OPENINGS, WITHIN))
-_known: dict[int, tuple[int, int, int, int, bool, bool]] = {}
+_known: dict[bytes, tuple[int, int, bool, bool]] = {}
 
 
 def classify(word: str) -> tuple[int, int, bool, bool]:
@@ -69,7 +71,7 @@ def classify(word: str) -> tuple[int, int, bool, bool]:
         kind = NUM
     elif low in UNITS:
         kind = UNIT
-    named = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
+    named = len(bare) > 1 and bare[0].isupper() and bare.replace("'", "").replace("’", "").replace("-", "").isalpha()
     return xxhash.xxh3_64_intdigest(low), kind, named, ends
 
 
@@ -79,14 +81,13 @@ class Templates:
     def __init__(self, column: pa.Array):
         buf, off = utf8(plain(column))
         starts, ends, first = words(buf, off, SPACES)
-        keys, at, back = np.unique(WORD_KEYS.ranges(WORD_KEYS.prefix(buf), starts, ends), return_index=True, return_inverse=True)
-        if len(_known) + len(keys) > CACHE_WORDS:
+        back, strings = distinct(buf, starts, ends)
+        if len(_known) + len(strings) > CACHE_WORDS:
             _known.clear()
-        data, listed = buf.tobytes(), keys.tolist()
-        for i, k in enumerate(listed):
-            if k not in _known:
-                _known[k] = classify(data[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace"))
-        info = [_known[k] for k in listed]
+        for x in strings:
+            if x not in _known:
+                _known[x] = classify(x.decode("utf-8", "replace"))
+        info = [_known[x] for x in strings]
         value = np.array([x[0] for x in info], np.uint64)[back]
         kind, named, stops = (np.array([x[j] for x in info], t)[back] for j, t in ((1, np.int8), (2, bool), (3, bool)))
         lines = np.concatenate(([0], np.cumsum(buf == 10)))
@@ -174,8 +175,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for part in blocks(batch):
                 yield _window_rows(part, "item_id", None, None)
 
-    rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_id"]).mapInArrow(work, ROWS)
-    return rows.select(F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), "key", F.col("bits").alias("item_bits"), F.col("template").alias("item_template"), F.col("slot_values").alias("item_values"))
+    rows = benchmark.select(F.col("item").alias("item_id"), "text").mapInArrow(work, ROWS)
+    return rows.select(F.col("doc_id").alias("item"), F.col("place").alias("item_place"), "key", F.col("bits").alias("item_bits"), F.col("template").alias("item_template"), F.col("slot_values").alias("item_values"))
 
 
 def document_windows(documents: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
@@ -192,33 +193,39 @@ def document_windows(documents: DataFrame, sizes: list[int], wanted: np.ndarray
 def leaks(documents: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """One row per (doc_id, item_id) that leaks."""
     scratch = Scratch(documents.sparkSession)
-    items = scratch.keep(item_windows(benchmark), "items")
+    # Texts that share an item's id are variants of it, each matched by itself.
+    variants = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    variants = scratch.keep(variants, "variants")
+    items = scratch.keep(item_windows(variants), "items")
     sizes = sorted(r[0] for r in items.select(F.size("item_values")).distinct().collect())  # WINDOW values at most
     n = items.count()
     small = fits_broadcast(n, 8 * (WINDOW + 6), broadcast_bytes)
     wanted = np.sort(np.array([r[0] for r in items.select("key").distinct().collect()], np.int64).view(np.uint64)) if small else None
     found = document_windows(documents, sizes if n else [], wanted)
-    places = items.select("item_id", "item_place", "item_template").distinct()
-    totals = places.groupBy("item_id").agg(F.count("*").alias("windows"), F.sum(F.col("item_template").cast("long")).alias("templates"))
+    places = items.select("item", "item_place", "item_template").distinct()
+    totals = places.groupBy("item").agg(F.count("*").alias("windows"), F.sum(F.col("item_template").cast("long")).alias("templates"))
     met = found.join(F.broadcast(items) if small else items, "key")
     pairs = F.filter(F.arrays_zip("kinds", "item_values", "slot_values"), lambda s: s["kinds"] > 0)
     meetings = F.array(*[F.when((F.col("item_bits").bitwiseAND(i) > 0) & (F.col("bits").bitwiseAND(d) > 0), F.lit(8 * i + d)) for i, d in MEETINGS])
-    met = met.select("doc_id", "item_id", "item_place", "item_template", (F.col("place") - F.col("item_place")).alias("shift"), F.filter(meetings, lambda m: m.isNotNull()).alias("meetings"), F.transform(pairs, lambda s: F.struct(s["item_values"].alias("a"), s["slot_values"].alias("b"))).alias("slots"))
+    met = met.select("doc_id", "item", "item_place", "item_template", (F.col("place") - F.col("item_place")).alias("shift"), F.filter(meetings, lambda m: m.isNotNull()).alias("meetings"), F.transform(pairs, lambda s: F.struct(s["item_values"].alias("a"), s["slot_values"].alias("b"))).alias("slots"))
     met = met.withColumn("meeting", F.explode("meetings"))
-    met = met.groupBy("doc_id", "item_id", "shift", "meeting", "item_place").agg(F.first("slots").alias("slots"), F.first("item_template").alias("item_template"))
+    met = met.groupBy("doc_id", "item", "shift", "meeting", "item_place").agg(F.first("slots").alias("slots"), F.first("item_template").alias("item_template"))
     # An alignment has one window for each place of the item at most, so its arrays are bounded by the item.
-    aligned = met.groupBy("doc_id", "item_id", "shift", "meeting").agg(F.collect_set(F.struct("item_place", "item_template")).alias("places"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    aligned = met.groupBy("doc_id", "item", "shift", "meeting").agg(F.collect_set(F.struct("item_place", "item_template")).alias("places"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side]))) == F.size("slots")
     changed = F.exists("slots", lambda s: s["a"] != s["b"])
-    told = aligned.select("doc_id", "item_id", "shift", "meeting", "places", (one_way("a") & one_way("b")).alias("consistent"), changed.alias("changed"))
+    told = aligned.select("doc_id", "item", "shift", "meeting", "places", (one_way("a") & one_way("b")).alias("consistent"), changed.alias("changed"))
     within = (F.col("meeting") == 9 * WITHIN) & ~F.col("consistent")
-    told = told.withColumn("vetoed", F.max(within).over(Window.partitionBy("doc_id", "item_id", "shift")))
-    spots = told.where("consistent and not vetoed").select("doc_id", "item_id", F.explode("places").alias("place"), "changed")
-    covered = spots.groupBy("doc_id", "item_id", "place").agg(F.min("changed").alias("changed"))
-    covered = covered.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.sum(F.col("place.item_template").cast("long")).alias("matched_templates"), F.max("changed").alias("reparameterised"))
+    told = told.withColumn("vetoed", F.max(within).over(Window.partitionBy("doc_id", "item", "shift")))
+    spots = told.where("consistent and not vetoed").select("doc_id", "item", F.explode("places").alias("place"), "changed")
+    covered = spots.groupBy("doc_id", "item", "place").agg(F.min("changed").alias("changed"))
+    covered = covered.groupBy("doc_id", "item").agg(F.count("*").alias("matched"), F.sum(F.col("place.item_template").cast("long")).alias("matched_templates"), F.max("changed").alias("reparameterised"))
     # Of all windows or of the templates: exact windows of a re-parameterised item cannot match.
     coverage = F.greatest(F.col("matched") / F.col("windows"), F.when(F.col("templates") > 0, F.col("matched_templates") / F.col("templates")))
-    return covered.join(F.broadcast(totals) if small else totals, "item_id").where(coverage >= min_coverage).select("doc_id", "item_id", "windows", "matched", F.round(coverage, 6).alias("coverage"), "reparameterised")
+    named = variants.select("item", "item_id")
+    told = covered.join(F.broadcast(totals) if small else totals, "item").where(coverage >= min_coverage).join(F.broadcast(named) if small else named, "item")
+    best = F.max(F.struct(F.round(coverage, 6).alias("coverage"), "matched", "windows", (~F.col("reparameterised")).alias("verbatim"))).alias("best")
+    return told.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.windows", "best.matched", "best.coverage", (~F.col("best.verbatim")).alias("reparameterised"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:

@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):  # executors elsewhere would not see a folder of the driver
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ravelin-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -3,15 +3,17 @@
 Only DataFrame functions run here. A rule ``(action, host, path)`` fits its
 host and every subdomain where the URL's path starts with the rule's path.
 
-* Each distinct (host, path) is expanded into host suffixes (at label
-  boundaries) times path prefixes (at the path lengths that some rule has).
+* Each distinct (host, path) is expanded into host suffixes (of as many labels
+  as some rule's host has) times path prefixes (of lengths that some rule's path
+  has), so the work for a URL grows with its length and not with its square.
 * Expressions meet rules on the first four bytes of their SHA-256, a short key
   that keeps the exchanged rows small; a full digest confirms the match.
 * The longest rule (host and path together) wins; of equal length the longer
   host, then ``block``.
 
 Nulls: a null URL, or one without ``://``, has an empty host and path and gets
-the default verdict. Rows that repeat are judged each; extra columns are left
+the default verdict. Rows that repeat are judged each; of rules that tie in
+length the longer host wins, then ``block``; extra columns are left
 out of the result; an empty table gives an empty result.
 """
 
@@ -40,6 +42,10 @@ def rules_frame(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> D
     return spark.createDataFrame(list(rules), RULE_SCHEMA)
 
 
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
 def _digest(expression: Column) -> Column:
     return F.sha2(expression, 256)
 
@@ -65,16 +71,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str =
     sizes = sorted(r[0] for r in rules.where(F.col("path").isNotNull()).select(F.length("path")).distinct().collect())
     if not sizes:
         return own.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    lengths = F.array(*[F.lit(n) for n in sizes])
-    labels = F.split("host", r"\.")
-    targets = own.where("host <> ''").select("host", "path").distinct()
-    suffixes = targets.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+    # So are the numbers of labels of their hosts: only suffixes with as many can meet a rule.
+    depths = sorted(r[0] for r in rules.where(F.col("host").isNotNull()).select(_labels(F.col("host"))).distinct().collect())
+    lengths, depth = F.array(*[F.lit(n) for n in sizes]), F.array(*[F.lit(n) for n in depths])
+    empty, named = own.where("host = ''"), own.where("host <> ''")
+    targets = named.select("host", "path").distinct()
+    suffixes = targets.withColumn("labels", F.explode(F.filter(depth, lambda n: n <= _labels(F.col("host"))))).withColumn("suffix", F.expr("substring_index(host, '.', -labels)"))
     expressions = suffixes.withColumn("prefix_size", F.explode(F.filter(lengths, lambda n: n <= F.length("path")))).select(
         "host", "path", _digest(F.concat_ws("\n", F.col("suffix"), F.expr("substring(path, 1, prefix_size)"))).alias("full")
     )
     wanted = prepared_rules(rules)
     met = expressions.withColumn("short", F.substring("full", 1, SHORT_HEX)).join(wanted, ["short"]).where(expressions["full"] == wanted["full"])
     best = met.groupBy("host", "path").agg(F.max("hit").alias("hit"))
-    return own.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.action"), F.lit(default)).alias("verdict")
-    )
+    # Pages without a host meet no rule, and don't all meet in one task.
+    judged = named.join(best, ["host", "path"], "left").unionByName(empty, allowMissingColumns=True)
+    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.action"), F.lit(default)).alias("verdict"))

@@ -16,6 +16,10 @@ decide what the join is worth:
   response is not what the server compared against; nothing is merged;
 * ``orphan``: no earlier response, or no usable URL.
 
+Records may have a ``profile`` (``WARC-Profile``): a revisit for an identical
+payload digest is resolved where its digest equals the stored one, and keeps its
+own headers. Others count as not modified.
+
 Header merging follows RFC 9111 section 3.2: a revisit's headers replace the
 stored ones, except those that describe the stored payload or the connection.
 
@@ -28,7 +32,7 @@ repeated rows are resolved each. Full responses pass through as ``full``.
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -68,8 +72,10 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = 3600) -> DataFrame
     """One row per record with ``status``, ``resolved_id`` and the effective payload and headers."""
     at = F.coalesce(F.col("captured").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
     seconds = F.floor(F.unix_seconds(at.cast("timestamp"))).cast("long")
+    if "profile" not in records.columns:
+        records = records.withColumn("profile", F.lit(None).cast("string"))
     log = (
-        records.select(*RECORD_COLUMNS)
+        records.select(*RECORD_COLUMNS, "profile")
         .withColumn("surt", canonical_url(F.col("url")))
         .withColumn("moment", at)
         .withColumn("slice", F.floor(seconds / slice_seconds).cast("long"))
@@ -91,8 +97,12 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = 3600) -> DataFrame
 
     agree = lambda c: F.col(c) == F.col(f"base.{c}")  # noqa: E731  null where either side lacks it
     differs = F.coalesce(~agree("etag"), F.lit(False)) | F.coalesce(~agree("last_modified"), F.lit(False))
+    # A revisit of the other profile vouches for its payload, whose digest is compared, and has its headers whole.
+    identical = F.coalesce(F.col("profile").contains("identical-payload-digest"), F.lit(False))
     status = (
-        F.when(is_full, "full").when(F.col("base").isNull(), "orphan").when(differs, "mismatch")
+        F.when(is_full, "full").when(F.col("base").isNull(), "orphan")
+        .when(identical, F.when(F.col("payload_digest").isNull(), "unvalidated").when(agree("payload_digest"), "resolved").otherwise("mismatch"))
+        .when(differs, "mismatch")
         .when(agree("etag").isNull() & agree("last_modified").isNull(), "unvalidated").otherwise("resolved")
     )
     ok = F.col("status") == "resolved"
@@ -102,55 +112,84 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = 3600) -> DataFrame
         F.when(is_full, F.col("record_id")).when(ok, F.col("base.record_id")).alias("resolved_id"),
         F.when(is_full, F.col("payload_ref")).when(ok, F.col("base.payload_ref")).alias("payload_ref"),
         F.when(is_full, F.col("payload_digest")).when(ok, F.col("base.payload_digest")).alias("payload_digest"),
-        F.when(is_full, _lowered(F.col("headers"))).when(ok, merged_headers(F.col("base.headers"), F.col("headers"))).otherwise(_lowered(F.col("headers"))).alias("headers"),
+        F.when(is_full, _lowered(F.col("headers"))).when(ok & ~identical, merged_headers(F.col("base.headers"), F.col("headers"))).otherwise(_lowered(F.col("headers"))).alias("headers"),
     )
 
 
 # --- reading and writing WARC files --------------------------------------------------------------
 
 
-def write_record(kind: str, url: str, date: str, headers: dict[str, str], payload: bytes, status: str = "200 OK") -> bytes:
+def write_record(kind: str, url: str, date: str, headers: dict[str, str], payload: bytes, status: str = "200 OK", profile: str | None = None) -> bytes:
     """One WARC/1.1 record with an HTTP response block."""
     http = f"HTTP/1.1 {status}\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in headers.items()) + b"\r\n" + payload
     head = [f"WARC-Type: {kind}", f"WARC-Target-URI: {url}", f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http)}"]
+    head += [f"WARC-Profile: {profile}"] if profile else []
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + http + b"\r\n\r\n"
 
 
+def unpacked(data: bytes) -> bytes:
+    """A file's bytes, plain or gzip, whole or by record; a broken member loses itself only."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at = [], 0
+    while 0 <= at < len(data):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(data[at:]))
+            at = len(data) - len(member.unused_data) if member.eof else len(data)
+        except zlib.error:
+            at += 1
+        at = data.find(b"\x1f\x8b", at)
+    return b"".join(out)
+
+
 def parse_records(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzip (whole or by record). A torn last record ends the file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
+    """Records of a WARC file. A torn record is told (kind ``torn``, what is left of it as payload) and reading goes on behind it."""
+    data, at = unpacked(data), 0
     while (at := data.find(b"WARC/", at)) >= 0:
+        following = data.find(b"\r\nWARC/", at + 5)
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(head.get("content-length") or 0)
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            return
-        at = end + 4 + size
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at : max(end, at)].decode("utf-8", "replace").split("\r\n")[1:])}
+        size = head.get("content-length") or "0"
+        whole = end >= 0 and size.isdigit() and end + 4 + int(size) <= len(data) and (following < 0 or end < following)
+        if not whole:
+            to = following if following >= 0 else len(data)
+            yield {"kind": "torn", "url": head.get("warc-target-uri"), "captured": head.get("warc-date"), "etag": None, "last_modified": None, "headers": {}, "profile": None, "payload": data[at:to]}
+            at = to
+            continue
+        block = data[end + 4 : end + 4 + int(size)]
+        at = end + 4 + int(size)
         http, _, payload = block.partition(b"\r\n\r\n")
         lines = http.decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])} if lines[0].startswith("HTTP/") else {}
-        yield {"kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "captured": head.get("warc-date"), "etag": fields.get("etag"), "last_modified": fields.get("last-modified"), "headers": fields, "payload": payload if fields else block}
+        yield {"kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "captured": head.get("warc-date"), "etag": fields.get("etag"), "last_modified": fields.get("last-modified"), "headers": fields, "profile": head.get("warc-profile"), "payload": payload if fields else block}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files at ``path``, through Spark's binary reader, so any store works."""
+    """The records of the WARC files at ``path``, through Spark's binary reader, so any store works.
+
+    A file is one value, of 2 GB at most; archives are written in files of about 1 GB.
+    Dates that are none are null.
+    """
     import pandas as pd
 
+    columns = ["file", "place", "kind", "url", "captured", "etag", "last_modified", "headers", "profile", "payload"]
+
     def rows(parts):
         for part in parts:
             for name, data in zip(part["path"], part["content"], strict=True):
-                out = [r | {"file": name, "place": i} for i, r in enumerate(parse_records(bytes(data)))]
-                if out:
-                    yield pd.DataFrame(out)[["file", "place", "kind", "url", "captured", "etag", "last_modified", "headers", "payload"]]
-
-    schema = "file string, place int, kind string, url string, captured string, etag string, last_modified string, headers map<string,string>, payload binary"
+                held: list[dict] = []
+                for i, r in enumerate(parse_records(bytes(data))):
+                    held.append(r | {"file": name, "place": i})
+                    if len(held) == 256:
+                        yield pd.DataFrame(held)[columns]
+                        held = []
+                if held:
+                    yield pd.DataFrame(held)[columns]
+
+    schema = "file string, place int, kind string, url string, captured string, etag string, last_modified string, headers map<string,string>, profile string, payload binary"
     found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, schema)
-    stamp = F.to_timestamp_ntz(F.regexp_replace(F.col("captured"), "[TZ]", " "), F.lit("yyyy-MM-dd HH:mm:ss "))
+    stamp = F.regexp_replace(F.trim("captured"), "[zZ]$", "").try_cast("timestamp_ntz")
     return found.withColumn("captured", stamp).withColumn("record_id", F.xxhash64("file", "place")).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_ref", F.col("record_id"))
 
 

@@ -29,6 +29,77 @@ def test_reparameterised(spark, docs, broadcast):
     assert got[1, 9] is False and got[2, 9] is True and (8, 9) not in got
 
 
+def found(spark, docs, texts, rows):
+    """Pairs (document number, item id) that leak."""
+    got = decontamination.leaks(docs(list(enumerate(texts))), items(spark, rows)).collect()
+    return {(r["doc_id"], r["item_id"]) for r in got}
+
+
+def test_names_anywhere(spark, docs):
+    """The docstring's example, capitals, names of other shapes, and a second name that is another."""
+    item = "Ann has 3 kg of red apples. McDonald gives two more to Ann before O'Brien comes home in the evening."
+    good = item.replace("Ann", "Bob").replace("3 kg", "7 lb").replace("McDonald", "Zed").replace("O'Brien", "Smith")
+    texts = [good, item.upper(), item.lower(), good.replace("to Bob", "to Zed"), "nothing of the kind"]
+    assert found(spark, docs, texts, [(1, item)]) == {(0, 1), (1, 1), (2, 1)}
+    assert found(spark, docs, ["Bob has 7 lb of red apples."], [(1, "Ann has 3 kg of red apples.")]) == {(0, 1)}
+
+
+def test_texts_under_one_item(spark, docs):
+    first, second = QUESTION, "Which of these rivers flows through four capitals before it reaches the sea?"
+    assert found(spark, docs, [first, second], [(1, first), (1, second), (1, None)]) == {(0, 1), (1, 1)}
+
+
+def test_windows_slots_and_coverage_by_brute_force(spark, docs):
+    """Lower-case texts (one reading): windows, matches, consistency and coverage by definition."""
+    import itertools
+    import random
+
+    r = random.Random(8)
+    vocabulary = "red green apples pears gives sells buys many before after noon market farm road".split()
+    token = lambda: r.choice([r.choice(vocabulary)] * 4 + [str(r.randrange(3)), r.choice(["kg", "lb"])])
+    benchmark = [(k, " ".join(token() for _ in range(r.randrange(4, 20)))) for k in range(12)]
+    texts = []
+    for k, (_, t) in enumerate(benchmark):
+        w = [str(r.randrange(3)) if x.isdigit() and k % 2 else x for x in t.split()]
+        texts += [t, " ".join([*(token() for _ in range(6)), *w, token()]), " ".join(w[: len(w) // 2 + 3])]
+    kind = lambda x: "#" if x.isdigit() else "u" if x in ("kg", "lb") else ""
+    size, least = decontamination.WINDOW, decontamination.SHORTEST
+
+    def keys(words, n):
+        for at in range(len(words) - n + 1):
+            w = words[at : at + n]
+            literal = sum(not kind(x) for x in w)
+            yield at, tuple(kind(x) or x for x in w) if literal >= least else ("exact", *w), literal >= least, w
+
+    want = {}
+    for (d, text), (i, item) in itertools.product(enumerate(texts), benchmark):
+        words, n = text.split(), min(size, len(item.split()))
+        mine = list(keys(item.split(), n))
+        shifts: dict[int, list] = {}
+        for at, key, template, w in keys(words, n):
+            for place, other, _, own in mine:
+                if key == other:
+                    slots = {(a, b) for a, b in zip(own, w, strict=True) if kind(a)} if template else set()
+                    shifts.setdefault(at - place, []).append((place, template, slots))
+        covered = set()
+        for hits in shifts.values():
+            slots = set().union(*(x[2] for x in hits))
+            if len({a for a, _ in slots}) == len(slots) == len({b for _, b in slots}):
+                covered |= {(place, template) for place, template, _ in hits}
+        templates = sum(x[2] for x in mine)
+        share = max(len(covered) / len(mine), sum(t for _, t in covered) / templates if templates else 0)
+        if covered and share >= decontamination.MIN_COVERAGE:
+            want[d, i] = (len(mine), len(covered), round(share, 6))
+    got = decontamination.leaks(docs(list(enumerate(texts))), items(spark, benchmark)).collect()
+    assert {(x["doc_id"], x["item_id"]): (x["windows"], x["matched"], x["coverage"]) for x in got} == want and len(want) > 12
+
+
+def test_long_text_and_missing_ids(spark, docs):
+    rows = [(1, f"{text_of(4, 60_000)} {QUESTION} {text_of(5, 10)}"), (None, QUESTION), (2, QUESTION), (2, QUESTION)]
+    got = decontamination.leaks(docs(rows), items(spark, [(7, QUESTION), (None, QUESTION)])).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 7), (2, 7)]
+
+
 def test_verbatim_items_are_found(spark):
     documents, benchmark = table(spark, SMALL, "documents").toPandas(), table(spark, SMALL, "benchmark").toPandas()
     fold = lambda t: " ".join((t or "").lower().split())
@@ -51,6 +122,15 @@ def test_url_rules(spark):
     assert url_filters.judge(pages, url_filters.rules_frame(spark, RULES).limit(0)).where("verdict = 'allow'").count() == len(urls)
 
 
+def test_long_hosts_and_ties(spark):
+    """The expansion of a host grows with its labels, and equal rules have one outcome."""
+    host = ".".join(["a"] * 30_000) + ".com"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (1, f"http://{host}/en/x"), (2, "http://com/en/"), (3, "http://com:80/en/")], "page_id long, url string")
+    rules = url_filters.rules_frame(spark, [("block", "com", "/en/"), ("allow", "com", "/en/"), ("allow", "a.com", "/en/"), ("block", "b.com", "/en/")])
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filters.judge(pages, rules).collect())
+    assert got[:3] == [(1, "a.com/en/", "allow"), (1, "a.com/en/", "allow"), (2, "com/en/", "block")] and got[3][2] == "allow"
+
+
 def test_revisits(spark):
     t = "2024-01-01 0{}:00:00"
     rows = [
@@ -73,10 +153,27 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(data))
     (tmp_path / "b.warc").write_bytes(data[:-60])
     rows = warc.read_warc(spark, str(tmp_path))
-    assert rows.count() == 3 and rows.where("kind = 'response'").select("payload").first()[0] == b"hello"
+    assert rows.where("kind <> 'torn'").count() == 3 and rows.where("kind = 'torn'").count() == 1 and rows.where("kind = 'response'").select("payload").first()[0] == b"hello"
     assert sorted(r["status"] for r in warc.resolve_revisits(rows.where("file LIKE '%gz'")).collect()) == ["full", "resolved"]
 
 
+def test_warc_dates_profiles_and_torn_records(spark, tmp_path):
+    import gzip
+
+    same = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+    dates = ["2024-01-01T00:00:00.123Z", "", "2024-01", "soon", "2024-01-01T02:00:00Z"]
+    records = [warc.write_record("response" if k < 4 else "revisit", f"http://a/{k}" if k < 4 else "http://a/0", d, {"ETag": "e", "X": str(k)}, b"hello" if k in (0, 4) else b"x", profile=same if k == 4 else None) for k, d in enumerate(dates)]
+    torn = records[1][:90] + b"\r\n"
+    (tmp_path / "a.warc").write_bytes(b"".join([records[0], torn, *records[1:]]))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(records[2]) + b"\x1f\x8b\x08broken" + gzip.compress(records[3]))
+    rows = warc.read_warc(spark, str(tmp_path))
+    told = sorted((r["url"] or "", str(r["captured"]), r["kind"]) for r in rows.where("file LIKE '%a.warc'").collect())
+    assert [x for x in told if x[2] != "torn"] == [("http://a/0", "2024-01-01 00:00:00.123000", "response"), ("http://a/0", "2024-01-01 02:00:00", "revisit"), ("http://a/1", "None", "response"), ("http://a/2", "2024-01-01 00:00:00", "response"), ("http://a/3", "None", "response")]
+    assert sum(x[2] == "torn" for x in told) == 1 and rows.where("file LIKE '%gz'").count() == 2
+    again = {r["status"]: r for r in warc.resolve_revisits(rows.where("file LIKE '%a.warc' AND url = 'http://a/0' AND kind <> 'torn'")).collect()}
+    assert again["resolved"]["headers"]["x"] == "4" and again["resolved"]["base_id"] == again["full"]["record_id"]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(1500, 12)).astype(np.float32)
@@ -117,10 +214,26 @@ def test_graph_settles(spark, tmp_path):
     for q in range(0, len(m), 100):
         d = ((m - m[q]) ** 2).sum(axis=1)
         d[q] = np.inf
-        hits += len(set(np.argsort(d)[:10]) & set(graph[graph.node == q].other))
+        hits += len(set(np.argsort(d)[:10]) & set(graph[graph.node == q].others.iloc[0]))
     assert hits >= 0.95 * 10 * 120
 
 
+def test_neighbours_of_many_blocks(spark):
+    """Recall of the whole search on 12,000 unclustered vectors, some 30 blocks a tree; negative and repeated ids."""
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(12000, 24)).astype(np.float32)
+    ids = np.arange(12000) - 6000
+    ids[7] = ids[8]  # one id, two vectors
+    rows = [(int(i), v) for i, v in zip(ids, m.tolist(), strict=True)] + [(None, m[0].tolist())]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), lambda v: v % 200 == 0).toPandas()
+    exact, hits, asked = m.astype(np.float64), 0, [i for i in ids if i % 200 == 0]
+    for q in asked:
+        d = np.sqrt(((exact - exact[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hits += len(set(ids[np.argsort(d)[:10]]) & set(got[got.query_id == q].vec_id))
+    assert hits >= 0.95 * 10 * len(asked) and (got.groupby("query_id").vec_id.nunique() == 10).all()
+
+
 @pytest.mark.parametrize("broadcast", [32 << 20, 0])
 def test_names_in_any_place_and_case(spark, docs, broadcast):
     tom = "Tom has 12 kg of apples. Tom gives 5 kg to Ann. Tom buys 3 more kg today. How many kg does Tom have now?"

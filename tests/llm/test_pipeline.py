@@ -37,3 +37,41 @@ def test_stages(spark):
         else:
             assert docs.columns == columns
             assert {r["doc_id"] for r in docs.collect()} == want, name
+
+
+def folder(spark, path, rows, schema):
+    """A folder of tables with these documents, and the labels and benchmark of the smallest tables."""
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, SMALL, name).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_edge_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, empties, repeats, ties, a long text, and extra columns with the names that operators use."""
+    import corpus_pipeline
+    from tests.llm.conftest import text_of
+
+    extra = ["rep", "anchor", "component_id", "score", "item", "__covered", "__want", "column1", "place", "key"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} int" for x in extra)
+    long, text, other = text_of(1, 30_000), text_of(2, 60), text_of(3, 60)
+    base = [(1, None), (2, ""), (3, " \n"), (4, text), (5, text), (6, other), (6, other), (7, long), (None, text_of(4, 40)), (None, None), (8, "one two"), (9, "end " + text)]
+    rows = [(i, t, None, None, len(t or ""), *([k] * len(extra))) for k, (i, t) in enumerate(base)]
+    sf_dir = folder(spark, tmp_path / "a", rows, schema)
+    docs, kept = table(spark, sf_dir, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = Scratch(spark).keep(stage(spark, docs, sf_dir), name)
+        assert docs.schema.simpleString() == table(spark, sf_dir, "documents").schema.simpleString(), name
+        kept[name] = sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
+    assert [i for i, _ in kept["toxicity"]] == [0, 0, 1, 2, 3, 4, 5, 6, 6, 7, 8, 9]
+    assert [i for i, _ in kept["near_dedup"]] == [0, 0, 1, 2, 3, 4, 6, 6, 7, 8]
+    assert dict(kept["decontamination"])[7] == long and dict(kept["decontamination"])[4] == text
+    packed = corpus_pipeline.run(spark, sf_dir)
+    assert packed.where("piece = 0").count() == len(kept["decontamination"])
+
+
+def test_empty_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    sf_dir = folder(spark, tmp_path / "b", [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, sf_dir).count() == 0
