@@ -2,12 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir); ``docs`` is all that the stage before
 kept, read again from Parquet. All stages but the last return the columns of
-``documents``; the last returns packed pieces.
+``documents``, extra ones too, whatever their names; the last returns packed pieces.
+
+Null and empty texts are clean in every stage and become one piece with the end
+id alone. Rows without a doc_id are scored, have no copies, keep all bytes and
+leak nothing; they are packed under a null id. Rows that repeat as they are stay
+as often as they are there (they are one document); of an id with several texts
+no row goes as a near copy as long as one of them is kept, and each is cut and
+packed by its own text, but a leak in one of them takes all. Of equal texts under
+several ids the smallest id stays. Very long texts are read whole. An empty table
+passes all stages and gives no pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ravelin.llm import decontamination, near_dedup, packing, substring_dedup, toxicity
 from ravelin.llm.lake import Scratch, table
@@ -22,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one with the smallest id."""
-    copies = near_dedup.similar_classes(docs).where("not kept").select("doc_id")
+    classes = near_dedup.similar_classes(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    copies = classes.where("not kept AND doc_id IS NOT NULL").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
