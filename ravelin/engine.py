@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -265,6 +266,32 @@ class Engine:
         df = self.query(url)
         return df.select(F.to_json(F.struct(*[c(x) for x in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
 
+    def document(self, url: str, size: int = 1000, metadata: str = "minimal") -> dict:
+        """The response envelope of a collection: context, count, next link and one page of rows.
+
+        ``metadata``: ``none`` leaves the context out, ``full`` gives each row its id.
+        """
+        if metadata not in ("none", "minimal", "full"):
+            raise bad(f"no metadata level {metadata}")
+        page = self.page(url, size)
+        request = parse_request(url)
+        frame, _ = self.walk(request)
+        out: dict = {}
+        if metadata != "none":
+            chosen = f"({','.join(request.options.select)})" if request.options.select else ""
+            out["@odata.context"] = f"$metadata#{frame.set.name if frame.set is not None else request.segments[0].name}{chosen}"
+        if page.count is not None:
+            out["@odata.count"] = page.count
+        out["value"] = [json.loads(r[0]) for r in page.rows.select(F.to_json(F.struct(*[c(x) for x in page.rows.columns]), {"ignoreNullFields": "false"})).collect()]  # one page
+        if metadata == "full" and frame.set is not None:
+            for row in out["value"]:
+                if all(k in row for k in frame.set.key):
+                    keys = [f"'{row[k]}'" if isinstance(row[k], str) else str(row[k]) for k in frame.set.key]
+                    row["@odata.id"] = f"{frame.set.name}({keys[0] if len(keys) == 1 else ','.join(f'{k}={v}' for k, v in zip(frame.set.key, keys, strict=True))})"
+        if page.next_link:
+            out["@odata.nextLink"] = page.next_link
+        return out
+
     def stream_of(self, url: str) -> DataFrame:
         """Bytes, content type and a tag of a media entity."""
         frame, _ = self.walk(parse_request(url))
@@ -290,3 +317,45 @@ class Engine:
             except QueryError as e:
                 out.append(e)
         return out
+
+    def batch_document(self, requests: list[dict], store=None) -> list[dict]:
+        """The JSON form of a batch: ``{"id", "method", "url", "dependsOn", "atomicityGroup", "write"}``.
+
+        A URL that begins with ``$id`` goes on from that request's resource. A
+        request fails (424) with those that it depends on. Requests of one group
+        are writes (``write`` takes the store): all of them happen or none.
+        """
+        if len(requests) > 100:
+            raise bad("too many requests in the batch")
+        status: dict[str, int] = {}
+        urls: dict[str, str] = {}
+        out: list[dict] = []
+        groups: dict[str, list[dict]] = {}
+        for r in requests:
+            if r.get("atomicityGroup"):
+                groups.setdefault(r["atomicityGroup"], []).append(r)
+        for r in requests:
+            group = r.get("atomicityGroup")
+            if group and r["id"] in status:
+                continue
+            if any(status.get(d, 424) >= 400 for d in r.get("dependsOn", ())):
+                status[r["id"]] = 424
+                out.append({"id": r["id"], "status": 424})
+                continue
+            try:
+                if group:
+                    if store is None:
+                        raise bad("writes need a store")
+                    store.change_set([x["write"] for x in groups[group]])
+                    answers = [{"id": x["id"], "status": 204} for x in groups[group]]
+                else:
+                    head, slash, rest = r["url"].partition("/")
+                    url = urls[head[1:]].partition("?")[0] + slash + rest if head.startswith("$") and head[1:] in urls else r["url"]
+                    urls[r["id"]] = url
+                    answers = [{"id": r["id"], "status": 200, "rows": self.query(url)}]
+            except QueryError as e:
+                answers = [{"id": x["id"], "status": e.status} for x in (groups[group] if group else [r])]
+            for a in answers:
+                status[a["id"]] = a["status"]
+            out += answers
+        return out

@@ -16,9 +16,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ravelin.errors import QueryError, bad
+from ravelin.errors import QueryError, bad, unsupported
 from ravelin.operators.changes import row_hash
 from ravelin.operators.frame import c
+from ravelin.sources.model import EntitySet
 
 
 def same_key(key: Sequence[str], values: dict) -> Column:
@@ -158,6 +159,39 @@ def matching(column: str, pattern: str) -> Rule:
     return Rule(f"{column} must match {pattern}", F.rlike(c(column), F.lit(to_java(pattern))))
 
 
+def rules_of(entity: EntitySet) -> list[Rule]:
+    """The rules that a model's validation terms state for a set's properties."""
+    out = []
+    for column, terms in entity.validation.items():
+        for term, value in terms.items():
+            match term:
+                case "Minimum" | "Maximum":
+                    exclusive = bool(terms.get(f"{term}Exclusive"))
+                    low = term == "Minimum"
+                    test = (c(column) > F.lit(value) if exclusive else c(column) >= F.lit(value)) if low else (c(column) < F.lit(value) if exclusive else c(column) <= F.lit(value))
+                    out.append(Rule(f"{column} must be {'above' if low else 'below'} {value}", test))
+                case "MinimumExclusive" | "MaximumExclusive":
+                    continue
+                case "Pattern":
+                    out.append(matching(column, str(value)))
+                case "AllowedValues":
+                    out.append(Rule(f"{column} must be one of {value}", c(column).isin(*value)))  # type: ignore[misc]
+                case "MultipleOf":
+                    out.append(multiple_of(column, value))
+                case "MaxLength":
+                    out.append(Rule(f"{column} must have at most {value} characters", F.length(c(column)) <= value))
+                case "MinItems":
+                    out.append(Rule(f"{column} must have at least {value} members", F.size(c(column)) >= value))
+                case "MaxItems":
+                    out.append(Rule(f"{column} must have at most {value} members", F.size(c(column)) <= value))
+                case "Required":
+                    if value:
+                        out.append(Rule(f"{column} must be given", c(column).isNotNull()))
+                case _:
+                    raise unsupported(f"the validation term {term}")
+    return out
+
+
 def validate(rows: DataFrame, rules: Sequence[Rule]) -> None:
     """400 with the details of each rule that some row breaks; one pass over the rows."""
     if not rules:

@@ -104,6 +104,19 @@ def _(e: Engine) -> DataFrame:
     return both.select(F.decode("content", "utf-8").alias("content"), F.col("content_type").alias("type"), "etag")
 
 
+@code("src15_envelope", "SELECT '$metadata#Nations(Nationkey)' AS context, (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS n, n_nationkey AS Nationkey, 'Nations(' || n_nationkey || ')' AS id FROM nation WHERE n_regionkey = 1 ORDER BY n_nationkey LIMIT 2")
+def _(e: Engine) -> DataFrame:
+    found = e.document("Nations?$filter=Regionkey eq 1&$count=true&$select=Nationkey", 2, "full")
+    assert "$skiptoken" in found["@odata.nextLink"]
+    return e.spark.createDataFrame([(found["@odata.context"], found["@odata.count"], r["Nationkey"], r["@odata.id"]) for r in found["value"]], "context string, n long, Nationkey int, id string")
+
+
+@code("src17_batch_references", "SELECT '2' AS id, 200 AS status, count(*) AS n FROM orders WHERE o_custkey = 5 UNION ALL SELECT '3', 404, NULL UNION ALL SELECT '4', 424, NULL")
+def _(e: Engine) -> DataFrame:
+    answers = e.batch_document([{"id": "1", "url": "Customers(5)"}, {"id": "2", "url": "$1/Orders", "dependsOn": ["1"]}, {"id": "3", "url": "Nothing"}, {"id": "4", "url": "Regions", "dependsOn": ["3"]}])
+    return e.spark.createDataFrame([(a["id"], a["status"], a["rows"].count() if "rows" in a else None) for a in answers[1:]], "id string, status int, n long")
+
+
 # --- predicates over nulls ---
 for _name, _condition, _sql in (
     ("prj11_complex", "Address/City eq 'Brand#11'", "coalesce(city = 'Brand#11', false)"),
@@ -362,6 +375,21 @@ def _(e: Engine) -> DataFrame:
     return e.spark.createDataFrame([(broken("multiple of"), broken("within"), broken("match"))], "odd long, large long, brand long")
 
 
+@code("dml11_model_terms", "SELECT (SELECT count(*) FROM part WHERE p_size < 5) AS low, (SELECT count(*) FROM part WHERE p_size >= 45) AS high, (SELECT count(*) FROM part WHERE p_type NOT IN ('PROMO', 'SMALL')) AS type, (SELECT count(*) FROM part WHERE length(p_name) > 9) AS name")
+def _(e: Engine) -> DataFrame:
+    import re
+
+    s = e.model.set("Parts")
+    s.validation = {"Size": {"Minimum": 5, "Maximum": 45, "MaximumExclusive": True}, "Type": {"AllowedValues": ("PROMO", "SMALL")}, "Name": {"MaxLength": 9, "Required": True}}
+    try:
+        writes.validate(s.load(e.spark), writes.rules_of(s))
+        told = ""
+    except QueryError as x:
+        told = str(x)
+    counts = [int(m[1]) if (m := re.search(stem + r"[^;]*\((\d+) rows\)", told)) else 0 for stem in ("Size must be above", "Size must be below", "Type must be one", "Name must have at most")]
+    return e.spark.createDataFrame([tuple(counts)], "low long, high long, type long, name long")
+
+
 # --- functions and the builder ---
 request("udf1_overload_none", "Goods/Tables.Picked()?$select=Partkey", "SELECT p_partkey AS Partkey FROM part WHERE p_partkey <= 3")
 request("udf1_overload_one", "Goods/Tables.Picked(upto=9)?$select=Partkey", "SELECT p_partkey AS Partkey FROM part WHERE p_partkey <= 9")

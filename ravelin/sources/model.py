@@ -74,6 +74,7 @@ class EntitySet:
     not_sortable: frozenset[str] = frozenset()
     not_groupable: frozenset[str] = frozenset()
     not_aggregatable: frozenset[str] = frozenset()
+    validation: dict[str, dict[str, object]] = field(default_factory=dict)  # property -> validation terms and their values
     stream: tuple[str, str] | None = None  # (binary column, content type column)
 
     def nav(self, name: str) -> Nav | None:
