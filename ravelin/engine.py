@@ -227,25 +227,28 @@ class Engine:
         by_key = not o.orderby and not o.apply and frame.set is not None and bool(frame.set.key)
         limit = size if o.top is None else min(size, o.top)
         done = self.read(frame, replace(o, top=limit + 1 if o.top is None or o.top > limit else limit, orderby=o.orderby))
-        rows = done.result(list(dict.fromkeys([*done.shape, *(frame.set.key if by_key else ())]))).collect()  # one page
+        shown = done.result(list(dict.fromkeys([*done.shape, *(frame.set.key if by_key else ())])))  # type: ignore[union-attr]
+        schema = shown.schema
+        if max_bytes is not None:  # of a row as it is served
+            shown = shown.withColumn("__bytes", F.octet_length(F.to_json(F.struct(*[c(x) for x in done.shape]), {"ignoreNullFields": "false"})))
+        rows = shown.collect()  # one page
         more = len(rows) > limit
         kept = rows[:limit]
         if max_bytes is not None:
             total, n = 0, 0
             for r in kept:
-                total += len(str(r))
+                total += r["__bytes"] or 0
                 if n and total > max_bytes:
                     break
                 n += 1
-            more, kept = more or n < len(kept), kept[:n]
-        schema = done.result(list(dict.fromkeys([*done.shape, *(frame.set.key if by_key else ())]))).schema  # type: ignore[union-attr]
+            more, kept = more or n < len(kept), [r[:-1] for r in kept[:n]]
         df = self.spark.createDataFrame(kept, schema).select(*[c(x) for x in done.shape])
         link = None
         if more and kept:
             rest = [p for p in query.split("&") if p and not p.startswith(("$skiptoken", "$skip=", "$top="))]
             left = [] if o.top is None else [f"$top={o.top - len(kept)}"]
             if by_key:
-                token = ",".join(str(kept[-1][k]) for k in frame.set.key)  # type: ignore[union-attr]
+                token = ",".join(str(kept[-1][schema.names.index(k)]) for k in frame.set.key)  # type: ignore[union-attr]
                 link = f"{base}?{'&'.join([*rest, *left, f'$skiptoken={token}'])}"
             else:
                 link = f"{base}?{'&'.join([*rest, *left, f'$skip={(o.skip or 0) + len(kept)}'])}"
