@@ -309,6 +309,7 @@ def similar_classes(documents: DataFrame) -> DataFrame:
         pairs = left.join(centres, "key").where("root <> centre_root").groupBy(F.col("rep").alias("member")).agg(F.min("centre").alias("centre")).select("centre", "member")
         roots = linked(roots, pairs, f"round{turn}")
         before, turn, left = apart, turn + 1, mixed(left, roots, f"left{turn}")
+    scratch.drop_all_but("signatures", "classes", *(x for x in scratch.names if x.endswith("-labels")))
     own = classes.withColumn("class_id", F.col("rep")) if roots is None else classes.join(roots.toDF("rep", "root"), "rep", "left").withColumn("class_id", F.coalesce("root", "rep"))
     found = signed.select("doc_id", *same).join(own.select(*same, "class_id"), same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))

@@ -342,6 +342,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = NEAREST) -> DataFrame:
     prints = nodes.select(F.col("node").alias("query_node"), F.xxhash64("v").alias("a"), F.xxhash64(F.lit(7), "v").alias("b"))
     asked = scratch.keep(asked.join(prints, ["a", "b"]).select("query_id", "query_node"), "asked")
     found = scratch.keep(search(asked, state, nodes, scratch), "found")
+    scratch.drop_all_but("asked", "found", "members")
     # Of a beam's nodes, and of a node's members, only so many can be among the nearest.
     order = F.row_number().over(Window.partitionBy("query_node").orderBy("d", "vec_id"))
     best = found.join(members, "node").withColumn("order", order).where(F.col("order") <= 2 * k + 2)

@@ -281,6 +281,7 @@ def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = QUANT
         scored = score_by_joins(documents, found)
     scored = scratch.keep(scored if n else scored.withColumn("log_perplexity", F.lit(None).cast("double")), "scored")
     limits = scratch.keep(thresholds(scored.join(ids, "doc_id", "left_semi").where(unseen), quantile), "thresholds")
+    scratch.drop_all_but("scored", "thresholds")
     every = limits.where("any").select(F.col("threshold").alias("overall"))
     own = limits.where("not any").select(F.col("lang").alias("l"), F.col("threshold").alias("of_lang"))
     limited = scored.join(own, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row

@@ -151,7 +151,7 @@ def marked(first: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.nda
 def occurrences(documents: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=1 << 20):
                 buf, off = utf8(plain(part.column("text")))
                 if part.num_rows == 1 and len(buf) > CHUNK:  # one very long text, by chunks of windows
                     each = [(c, *segments(buf[c : c + CHUNK + SPAN - 1], np.array([0, min(CHUNK + SPAN - 1, len(buf) - c)]))) for c in range(0, len(buf) - SPAN + 1, CHUNK)]
