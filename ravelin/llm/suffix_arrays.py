@@ -27,20 +27,37 @@ def smaller_types(s: np.ndarray) -> np.ndarray:
 
 
 def _dealt(chars: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by symbol, each one's rank within its symbol, the symbols and their counts."""
-    order = np.argsort(chars.astype(np.uint16) if small else chars, kind="stable")
+    """Stable order by symbol, the symbols, where each begins in that order, and their counts."""
+    order = (chars.astype(np.uint16) if small else chars).argsort(kind="stable")
     chars = chars[order]
-    cut = np.flatnonzero(np.concatenate(([True], chars[1:] != chars[:-1])))
-    counts = np.diff(np.append(cut, len(chars)))
-    return order, np.arange(len(chars)) - np.repeat(cut, counts), chars[cut], counts
+    new = np.empty(len(chars), bool)
+    new[0] = True
+    np.not_equal(chars[1:], chars[:-1], out=new[1:])
+    cut = new.nonzero()[0]
+    counts = np.empty(len(cut), np.int64)
+    counts[:-1] = cut[1:] - cut[:-1]
+    counts[-1] = len(chars) - cut[-1]
+    return order, chars[cut], cut, counts
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Indices of ranges [first, last), one after the other."""
+    sizes = last - first
+    before = sizes.cumsum() - sizes
+    return (first - before).repeat(sizes) + np.arange(sizes.sum())
 
 
-def _ranges(first: np.ndarray, last: np.ndarray, down: bool = False) -> np.ndarray:
-    """Indices of ranges [first, last), one after the other; ``down``: each from its end."""
+def _down(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The same, each range from its end."""
     sizes = last - first
-    before = np.cumsum(sizes) - sizes
-    step = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
-    return np.repeat(last - 1, sizes) - step if down else np.repeat(first, sizes) + step
+    before = sizes.cumsum() - sizes
+    return (last - 1 + before).repeat(sizes) - np.arange(sizes.sum())
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(2 * len(a), np.int64)
+    out[0::2], out[1::2] = a, b
+    return out
 
 
 def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -> np.ndarray:
@@ -50,10 +67,10 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -
     ends = np.cumsum(sizes)
     starts = ends - sizes
     sa = np.full(n, -1, np.int64)
-    order, rank, symbols, counts = _dealt(s[lms], small)
+    order, symbols, cut, counts = _dealt(s[lms], small)
     lms_from = ends.copy()
     lms_from[symbols] -= counts
-    sa[lms_from[s[lms][order]] + rank] = lms[order]
+    sa[(lms_from[symbols] - cut).repeat(counts) + np.arange(len(lms))] = lms[order]
     present = np.flatnonzero(sizes)
     place = np.zeros(alphabet, np.int64)  # of a symbol among those present
     place[present] = np.arange(len(present))
@@ -61,8 +78,8 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -
 
     def forward(wave: np.ndarray) -> None:
         """Deal the predecessors of larger type that suffixes in order induce."""
-        order, rank, symbols, counts = _dealt(chars := s[wave], small)
-        sa[head[chars[order]] + rank] = wave[order]
+        order, symbols, cut, counts = _dealt(s[wave], small)
+        sa[(head[symbols] - cut).repeat(counts) + np.arange(len(wave))] = wave[order]
         head[symbols] += counts
 
     def larger(wave: np.ndarray) -> np.ndarray:
@@ -73,15 +90,15 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -
     while at < len(present):
         some = present[at : at + run]
         # Of each bucket: larger suffixes so far, then LMS ones.
-        inner = np.stack((starts[some], lms_from[some]), axis=1).ravel()
-        outer = np.stack((head[some], ends[some]), axis=1).ravel()
+        inner, outer = _paired(starts[some], lms_from[some]), _paired(head[some], ends[some])
         found = sa[_ranges(inner, outer)]
         p = larger(found)
-        reach = int(place[s[p]].min()) if len(p) else len(present)
+        reach = int(place[s[p].min()]) if len(p) else len(present)
         if reach > at:  # buckets before ``reach`` are complete
             upto = min(reach, at + len(some))
             if upto < at + len(some):
-                p = larger(sa[_ranges(inner[: 2 * (upto - at)], outer[: 2 * (upto - at)])])
+                k = 2 * (upto - at)
+                p = larger(found[: int((outer[:k] - inner[:k]).sum())])
             if len(p):
                 forward(p)
             run = min(2 * run, len(present)) if upto == at + run else max(1, upto - at)
@@ -102,8 +119,8 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -
     tail = ends.copy()
 
     def backward(wave: np.ndarray) -> None:
-        order, rank, symbols, counts = _dealt(chars := s[wave], small)
-        sa[tail[chars[order]] - 1 - rank] = wave[order]
+        order, symbols, cut, counts = _dealt(s[wave], small)
+        sa[(tail[symbols] - 1 + cut).repeat(counts) - np.arange(len(wave))] = wave[order]
         tail[symbols] -= counts
 
     def lesser(wave: np.ndarray) -> np.ndarray:
@@ -116,15 +133,15 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -
     while at >= 0:
         some = present[max(0, at - run + 1) : at + 1][::-1]
         # From the end: smaller suffixes so far, then larger ones.
-        inner = np.stack((tail[some], starts[some]), axis=1).ravel()
-        outer = np.stack((ends[some], larger_to[some]), axis=1).ravel()
-        p = lesser(sa[_ranges(inner, outer, down=True)])
-        reach = int(place[s[p]].max()) if len(p) else -1
+        inner, outer = _paired(tail[some], starts[some]), _paired(ends[some], larger_to[some])
+        found = sa[_down(inner, outer)]
+        p = lesser(found)
+        reach = int(place[s[p].max()]) if len(p) else -1
         if reach < at:
             downto = max(reach, at - len(some))
             if downto > at - len(some):
                 k = 2 * (at - downto)
-                p = lesser(sa[_ranges(inner[:k], outer[:k], down=True)])
+                p = lesser(found[: int((outer[:k] - inner[:k]).sum())])
             if len(p):
                 backward(p)
             run = min(2 * run, len(present)) if downto == at - run else max(1, at - downto)
