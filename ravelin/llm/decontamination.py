@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.lake import Scratch, fits_broadcast
-from ravelin.llm.textblocks import SPACES, blocks, constants, distinct, plain, splitmix, utf8, words
+from ravelin.llm.textblocks import SPACES, blocks, constants, distinct, freeing, plain, splitmix, utf8, words
 
 WINDOW = 8
 SHORTEST = 4
 MIN_COVERAGE = 0.5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 # Unit words that a re-parameterised question may change.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons ml cl l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent $ dollar dollars cent cents € euro euros £ °c °f degree degrees mph kph km/h m/s hz khz mhz ghz kb mb gb tb w kw mw j kj cal kcal v".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?(?:%|st|nd|rd|th|[a-z]{1,3})?")
@@ -170,6 +170,7 @@ def _window_rows(part: pa.RecordBatch, name: str, sizes: list[int] | None, wante
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
+    @freeing
     def work(batches):
         for batch in batches:
             for part in blocks(batch):
@@ -182,10 +183,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def document_windows(documents: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
+    @freeing
     def work(batches):
         for batch in batches:
             for part in blocks(batch):
                 yield _window_rows(part, "doc_id", sizes, shared.value)
+        _known.clear()
 
     return documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, ROWS)
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.textblocks import blocks, constants, distinct, plain, row_sums, splitmix, utf8, words
+from ravelin.llm.textblocks import blocks, constants, distinct, freeing, plain, row_sums, splitmix, utf8, words
 
 #: Words of ASCII other than letters end a word here.
 NOT_LETTER = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
@@ -214,6 +214,7 @@ def predict(documents: DataFrame, model: PieceModel) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
 
+    @freeing
     def work(batches):
         m: PieceModel = shared.value
         names = np.array([*m.languages, "und"], object)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.lake import Scratch, fits_broadcast
-from ravelin.llm.textblocks import SPACES, ascii_lower, blocks, constants, plain, sorted_unique, splitmix, utf8, word_hashes, words
+from ravelin.llm.textblocks import SPACES, ascii_lower, blocks, constants, freeing, plain, sorted_unique, splitmix, utf8, word_hashes, words
 
 WIDTH = 5
 THRESHOLD = 75
@@ -108,6 +108,7 @@ def signature_columns(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
+    @freeing
     def work(batches):
         for batch in batches:
             for part in blocks(batch):
@@ -150,6 +151,7 @@ def confirmed(candidates: DataFrame, documents: DataFrame, named: DataFrame, scr
     wanted = wanted.join(named, "rep").withColumnRenamed("rep", "doc_id")
     rows = sets_of(documents, wanted, n).select("centre", "block", "part", "doc_id", "set_a", "text")
 
+    @freeing
     def work(batches):
         key, own = None, None
         for batch in batches:
@@ -191,6 +193,7 @@ def contracted(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def shingles_of(crowd: DataFrame, documents: DataFrame) -> DataFrame:
     """(rep, root, shingle) of the sets of ``crowd`` (rep, root, set_a)."""
 
+    @freeing
     def work(batches):
         for batch in batches:
             for part in blocks(batch):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.lake import Scratch
-from ravelin.llm.textblocks import SPACES, ascii_lower, blocks, distinct, plain, spread, table_of, utf8, words
+from ravelin.llm.textblocks import SPACES, ascii_lower, blocks, distinct, freeing, plain, spread, table_of, utf8, words
 
 CAPACITY = 2048
 END_ID = 0
@@ -39,7 +39,6 @@ BETWEEN = "<|endoftext|>"
 TOGETHER = 1000
 PER_BUCKET = 4000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_loaded: dict[int, WordCoder] = {}
 
 
 LETTERS = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
@@ -113,19 +112,13 @@ class WordCoder:
         return self.flat[spread(self.starts[rows], counts)], total[first]
 
 
-def coder(definition: str) -> WordCoder:
-    key = hash(definition)
-    if key not in _loaded:
-        _loaded[key] = WordCoder(definition)
-    return _loaded[key]
-
-
 def tokenised(documents: DataFrame, definition: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` ids; only longer documents are cut."""
     shared = documents.sparkSession.sparkContext.broadcast(definition)  # one vocabulary file
 
+    @freeing
     def work(batches):
-        words_of = coder(shared.value)
+        words_of = WordCoder(shared.value)
         for batch in batches:
             for part in blocks(batch):
                 ids, first = words_of.ids(part.column("text"))
@@ -216,6 +209,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = dealt.withColumn("within", within).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    @freeing
     def work(batches):
         rows = layout.value
         order = rows[:, 0] * (1 << 48) + rows[:, 1]

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.lake import Scratch, fits_broadcast
-from ravelin.llm.textblocks import blocks, plain, row_sums, utf8
+from ravelin.llm.textblocks import blocks, freeing, plain, row_sums, utf8
 
 ORDER = 5
 QUANTILE = 0.995
@@ -66,6 +66,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def counted(trusted: DataFrame) -> DataFrame:
     """(key, n) of all five-byte sequences of trusted texts."""
 
+    @freeing
     def work(batches):
         total_keys, total_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -205,6 +206,7 @@ def gathered(found: dict[int, tuple[DataFrame, DataFrame]]) -> KneserNey:
 def score_in_workers(documents: DataFrame, model: KneserNey) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @freeing
     def work(batches):
         m = shared.value.prepared()
         for batch in batches:
@@ -220,6 +222,7 @@ def score_in_workers(documents: DataFrame, model: KneserNey) -> DataFrame:
 def score_by_joins(documents: DataFrame, found: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """The same scores for tables of any size: distinct n-grams meet the tables in exchanges."""
 
+    @freeing
     def work(batches):
         for batch in batches:
             for part in blocks(batch):

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.lake import Scratch, fits_broadcast
 from ravelin.llm.suffix_arrays import common_prefixes, suffix_array
-from ravelin.llm.textblocks import blocks, gram_hashes, plain, splitmix, spread, utf8
+from ravelin.llm.textblocks import blocks, freeing, gram_hashes, plain, splitmix, spread, utf8
 
 SPAN = 100
 GRAM = 16
@@ -149,6 +149,7 @@ def marked(first: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.nda
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
+    @freeing
     def work(batches):
         for batch in batches:
             for part in blocks(batch, limit=1 << 20):
@@ -172,6 +173,7 @@ def occurrences(documents: DataFrame) -> DataFrame:
 def collapsed(found: DataFrame) -> DataFrame:
     """Of occurrences that repeat: ``kind`` 0 is covered by an equal segment, 1 is kept and its anchor has other segments; 2 names a large anchor."""
 
+    @freeing
     def work(batches):
         # What is known of the anchor that may go on in the next batch.
         state = {"anchor": None, "seg": None, "doc": 0, "last": (None, None, 0), "segments": 0, "held": None}
@@ -294,6 +296,7 @@ def by_suffix_arrays(pieces: DataFrame) -> DataFrame:
         doc, place = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in shard_ranges(doc, place, [r[2] for r in rows])], ["doc_id", "place"])
 
+    @freeing
     def work(batches):
         rows, size, last = [], 0, None
         before = None  # the last window: key, other, doc, tag, start; and the first of its group and of its run
@@ -336,6 +339,7 @@ def by_suffix_arrays(pieces: DataFrame) -> DataFrame:
 def cut_pieces(rows: DataFrame) -> DataFrame:
     """Bytes of the wanted segments of ``rows`` (doc_id, text, __want); of large anchors, a fingerprint of each of their windows."""
 
+    @freeing
     def pieces(batches):
         for batch in batches:
             for part in blocks(batch, limit=1 << 19):
@@ -407,6 +411,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = with_ranges(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), Scratch(documents.sparkSession))
 
+    @freeing
     def work(batches):
         for batch in batches:
             for part in blocks(batch):
@@ -437,6 +442,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     rows = documents.select(*[F.col(f"`{x}`").alias(n) for x, n in names.items()]).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = with_ranges(rows, Scratch(documents.sparkSession))
 
+    @freeing
     def work(batches):
         for batch in batches:
             texts, alive = [], []

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.lake import fits_broadcast
-from ravelin.llm.textblocks import NOT_ALNUM, blocks, constants, distinct, hashes, plain, row_sums, sorted_unique, splitmix, spread, utf8, words
+from ravelin.llm.textblocks import NOT_ALNUM, blocks, constants, distinct, freeing, hashes, plain, row_sums, sorted_unique, splitmix, spread, utf8, words
 
 HASH_BITS = 20
 THRESHOLD = 0.3
@@ -98,6 +98,7 @@ def sample_of(known: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, in
 
 
 def training_terms(sample: DataFrame) -> DataFrame:
+    @freeing
     def work(batches):
         for batch in batches:
             for part in blocks(batch):
@@ -200,6 +201,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 4000, factors:
         drawn = F.broadcast(drawn)  # about 2 * per_class ids, whatever the tables' size
     sample = documents.select("doc_id", "text").join(drawn, "doc_id")
 
+    @freeing
     def work(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -232,6 +234,7 @@ def score(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
     """``doc_id`` and ``score`` of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** HASH_BITS terms, factors + 1 floats each
 
+    @freeing
     def work(batches):
         fm = shared.value
         for batch in batches:
@@ -249,6 +252,7 @@ def below(documents: DataFrame, model: FactorizationMachine, threshold: float =
     """The rows of ``documents`` that score under the threshold, in one map-only pass."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @freeing
     def work(batches):
         fm = shared.value
         for batch in batches:
